@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, quality_rules
-from loomgraph.llm.common import read_table
+from loomgraph.llm import bpe, factorization, quality_rules, rule_ensemble
+from loomgraph.llm.common import read_table, remainder
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,8 +22,24 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, output="digests")
 
 
+def op8_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    left = remainder(F.col("doc_id"), 4)
+    model = rule_ensemble.train_ensemble(docs, read_table(spark, sf_dir, "labels"), "quality", left != 2)
+    scored = rule_ensemble.with_score(docs, model)
+    return scored.select("doc_id", (left == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op10_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    left = remainder(F.col("doc_id"), 5)
+    model = factorization.train_machine(docs, read_table(spark, sf_dir, "labels"), "toxic", left != 0)
+    scored = factorization.score_documents(docs, model)
+    return scored.select("doc_id", (left == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op7_byte_bpe)}
+    return {f.__name__: f for f in (op1_quality_rules, op7_byte_bpe, op8_rule_ensemble, op10_factorization_machine)}
 
 
 def oracle_sql() -> dict[str, str]:
