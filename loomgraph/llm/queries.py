@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, factorization, licenses, quality_rules, rule_ensemble, secrets
+from loomgraph.llm import bpe, factorization, licenses, near_dedup, quality_rules, rule_ensemble, secrets
 from loomgraph.llm.common import read_table, remainder
 
 
@@ -19,6 +19,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(read_table(spark, sf_dir, "documents"))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), percent=85)
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return licenses.scan(docs, licenses.build_index(docs)).drop("places")
@@ -48,7 +52,7 @@ def op10_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op5_license_scan, op7_byte_bpe, op8_rule_ensemble, op10_factorization_machine)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op4_minhash_near_dedup, op5_license_scan, op7_byte_bpe, op8_rule_ensemble, op10_factorization_machine)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -123,10 +123,17 @@ def _literal_runs(pattern: str) -> list[list[str]]:
     return [runs(a) for a in alternation()]
 
 
-def trigram_query(pattern: str) -> list[frozenset[str]] | None:
+def _spread(trigrams: list[str], most: int) -> frozenset[str]:
+    """At most `most` of the trigrams, evenly spaced: a few that don't overlap narrow as well as all of them."""
+    own = list(dict.fromkeys(trigrams))
+    step = max(1, (len(own) - 1) / max(1, most - 1))
+    return frozenset(own[min(len(own) - 1, round(i * step))] for i in range(min(most, len(own))))
+
+
+def trigram_query(pattern: str, most: int = 3) -> list[frozenset[str]] | None:
     """Alternatives (OR) of trigrams (AND) of which every match has one whole, over the lower-cased text; None if some
-    alternative has no mandatory trigram, so that the index can't narrow the pattern."""
-    out = {frozenset(run[i : i + 3] for run in runs for i in range(len(run) - 2)) for runs in _literal_runs(pattern)}
+    alternative has no mandatory trigram, so that the index can't narrow the pattern.  At most `most` of a run."""
+    out = {frozenset(t for run in runs if len(run) > 2 for t in _spread([run[i : i + 3] for i in range(len(run) - 2)], most)) for runs in _literal_runs(pattern)}
     if frozenset() in out:
         return None
     return sorted((a for a in out if not any(b < a for b in out)), key=sorted)
@@ -190,7 +197,7 @@ def rule_spans(text: Column, rule: SecretRule, rank: int) -> Column:
     whole = F.regexp_extract_all(text, F.lit(rule.scanned), F.lit(0))
     judged = F.regexp_extract_all(text, F.lit(rule.scanned), F.lit(rule.group)) if rule.group else whole
     gaps = F.split(text, rule.scanned, -1)
-    parts = F.arrays_zip(whole.alias("m"), judged.alias("j"), F.slice(gaps, 1, F.greatest(F.size(whole), F.lit(0))).alias("g"))
+    parts = F.arrays_zip(whole.alias("m"), judged.alias("j"), F.slice(gaps, 1, F.size(whole)).alias("g"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -199,7 +206,7 @@ def rule_spans(text: Column, rule: SecretRule, rank: int) -> Column:
         one = F.struct(begin.cast("int").alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.cast("int").alias("end"))
         return F.struct(end.cast("int").alias("at"), F.when(F.length(x["j"]) >= rule.least, F.concat(acc["spans"], F.array(one))).otherwise(acc["spans"]).alias("spans"))
 
-    return F.when(F.size(whole) > 0, F.aggregate(parts, start, step, lambda acc: acc["spans"])).otherwise(F.array().cast(_SPAN))
+    return F.aggregate(parts, start, step, lambda acc: acc["spans"])
 
 
 def find(df: DataFrame, rules: tuple[SecretRule, ...] = RULES, *, id_col: str = "doc_id", text_col: str = "text", output: str = "spans") -> DataFrame:
@@ -221,10 +228,9 @@ def find(df: DataFrame, rules: tuple[SecretRule, ...] = RULES, *, id_col: str =
         joined = keyed.join(found, "key", "left").drop("key")
     spans = []
     for rank, rule in enumerate(rules):
-        all_of = rule_spans(text, rule, rank)
-        if trigram_query(rule.pattern):
-            all_of = F.when(F.array_contains(F.col("kinds"), rule.kind), all_of).otherwise(F.array().cast(_SPAN))
-        spans.append(all_of)
+        # the pattern's first hit decides if the text is split at all; no other scan of texts without one
+        may = F.array_contains(F.col("kinds"), rule.kind) if trigram_query(rule.pattern) else F.lit(True)
+        spans.append(F.when(may & F.rlike(text, F.lit(rule.scanned)), rule_spans(text, rule, rank)).otherwise(F.array().cast(_SPAN)))
     whole = F.array_sort(F.concat(*spans))
     return joined.select(*(F.col(f"d.`{c}`").alias(c) for c in names), whole.alias(output))
 
