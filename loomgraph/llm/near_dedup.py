@@ -271,3 +271,17 @@ def near_duplicates(df: DataFrame, *, percent: int = 80, id_col: str = "doc_id",
     out = made.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("class")).alias("class")).join(where, "class", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
+
+
+def deduplicate(df: DataFrame, *, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `df` whose document is the smallest id of its group, with all their columns.  Of rows that repeat
+    both id and text one stays; rows with a null id all stay.  A column's name never clashes with the operator's."""
+    out = near_duplicates(df, percent=percent, id_col=id_col, text_col=text_col)
+    gone = out.where("not kept").select(F.col("doc_id").alias("\x01id")).distinct()
+    text, key = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
+    # an id whose rows have several texts can be kept in one group and gone in another: its group decides by the row's set
+    left = df.join(gone, key.eqNullSafe(F.col("`\x01id`")), "left_anti")
+    again = df.where(key.isNotNull()).groupBy(key.alias("\x01id"), F.xxhash64(text).alias("\x01text")).count().where("count > 1").select("`\x01id`").distinct()
+    once = left.join(again, key == F.col("`\x01id`"), "left_anti")
+    many = left.join(again, key == F.col("`\x01id`"), "left_semi").dropDuplicates([id_col, text_col])
+    return once.unionByName(many)

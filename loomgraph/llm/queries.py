@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, factorization, licenses, near_dedup, quality_rules, rule_ensemble, secrets
+from loomgraph.llm import bpe, factorization, licenses, near_dedup, packing, projected_knn, quality_rules, rule_ensemble, secrets
 from loomgraph.llm.common import read_table, remainder
 
 
@@ -28,6 +28,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs, licenses.build_index(docs)).drop("places")
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -43,6 +47,10 @@ def op8_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (left == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op9_projected_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projected_knn.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     left = remainder(F.col("doc_id"), 5)
@@ -52,7 +60,13 @@ def op10_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op4_minhash_near_dedup, op5_license_scan, op7_byte_bpe, op8_rule_ensemble, op10_factorization_machine)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_quality_rules, op2_secret_scan, op4_minhash_near_dedup, op5_license_scan, op6_best_fit_packing,
+            op7_byte_bpe, op8_rule_ensemble, op9_projected_knn, op10_factorization_machine,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
