@@ -108,7 +108,7 @@ def class_of(own: np.ndarray) -> bytes:
 
 
 def signatures(df: DataFrame, bands: int, rows: int) -> DataFrame:
-    """doc_id, n (size of the set), class (a 128-bit digest of the set), bands and bits; the last three null for an
+    """doc_id, text_key, n (size of the set), class (a 128-bit digest of the set), bands and bits; the last three null for an
     empty set."""
     id_type = df.schema["doc_id"].dataType.simpleString()
 
@@ -121,11 +121,11 @@ def signatures(df: DataFrame, bands: int, rows: int) -> DataFrame:
             mask = pa.array([not x for x in full])
             lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32)), pa.array(m.ravel()), mask=mask)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], type=pa.int64()), pa.array([class_of(s) if ok else None for s, ok in zip(sets, full, strict=True)], type=pa.binary()), lists(keys), lists(bits)],
-                names=["doc_id", "n", "class", "bands", "bits"],
+                [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], type=pa.int64()), pa.array([class_of(s) if ok else None for s, ok in zip(sets, full, strict=True)], type=pa.binary()), lists(keys), lists(bits)],
+                names=["doc_id", "text_key", "n", "class", "bands", "bits"],
             )
 
-    return df.mapInArrow(run, f"doc_id {id_type}, n long, class binary, bands array<long>, bits array<long>")
+    return df.mapInArrow(run, f"doc_id {id_type}, text_key long, n long, class binary, bands array<long>, bits array<long>")
 
 
 # --- verification ----------------------------------------------------------------------------------------------------
@@ -219,19 +219,20 @@ def components(links: DataFrame) -> DataFrame:
 # --- the operator ----------------------------------------------------------------------------------------------------
 
 
-def near_duplicates(df: DataFrame, *, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, *, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id that links reach, itself included) and kept, a row for each row.
 
     Links join documents whose sets of distinct 5-word shingles (lower-cased over A-Z; a text of fewer words is one
     shingle) have 100 * intersection >= percent * union.  A null or empty text has an empty set and no link.  A row
     with a null id has none either: its component_id is null and it is kept.  Rows that repeat an id are rows of their
-    own, linked by their texts.  An empty table gives an empty result.  Other columns are ignored.
+    own, linked by their texts.  An empty table gives an empty result.  Other columns are ignored.  `with_key` adds
+    text_key, Spark's xxhash64 of the text.
     """
     spark = df.sparkSession
     ensure_checkpoints(spark)
     bands, rows = banding(percent)
     docs = texts(df, id_col, text_col)
-    made = signatures(docs, bands, rows).checkpoint()
+    made = signatures(docs.withColumn("text_key", F.xxhash64("text")), bands, rows).checkpoint()
     named = made.where("doc_id is not null and n > 0")
     # rows of a class have the same set, so any row's sketch will do
     one = named.groupBy("class").agg(F.min("doc_id").alias("first"), *(F.any_value(c).alias(c) for c in ("n", "bands", "bits"))).checkpoint()
@@ -268,20 +269,21 @@ def near_duplicates(df: DataFrame, *, percent: int = 80, id_col: str = "doc_id",
     joined = classes.join(rooted, F.col("class") == F.col("node"), "left").select("class", "first", F.coalesce("root", "class").alias("root"))
     lowest = joined.groupBy("root").agg(F.min("first").alias("component"))
     where = joined.join(lowest, "root").select("class", "component")
-    out = made.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("class")).alias("class")).join(where, "class", "left")
+    out = made.select("doc_id", "text_key", "n", F.when(F.col("doc_id").isNotNull(), F.col("class")).alias("class")).join(where, "class", "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
+    return out.select(*["text_key"] * with_key, "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
 
 
 def deduplicate(df: DataFrame, *, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `df` whose document is the smallest id of its group, with all their columns.  Of rows that repeat
     both id and text one stays; rows with a null id all stay.  A column's name never clashes with the operator's."""
-    out = near_duplicates(df, percent=percent, id_col=id_col, text_col=text_col)
-    gone = out.where("not kept").select(F.col("doc_id").alias("\x01id")).distinct()
-    text, key = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
-    # an id whose rows have several texts can be kept in one group and gone in another: its group decides by the row's set
-    left = df.join(gone, key.eqNullSafe(F.col("`\x01id`")), "left_anti")
-    again = df.where(key.isNotNull()).groupBy(key.alias("\x01id"), F.xxhash64(text).alias("\x01text")).count().where("count > 1").select("`\x01id`").distinct()
-    once = left.join(again, key == F.col("`\x01id`"), "left_anti")
-    many = left.join(again, key == F.col("`\x01id`"), "left_semi").dropDuplicates([id_col, text_col])
-    return once.unionByName(many)
+    out = near_duplicates(df, percent=percent, id_col=id_col, text_col=text_col, with_key=True).where("doc_id is not null")
+    # only ids and hashes of texts that are to go or that repeat are joined back
+    fate = out.groupBy("doc_id", "text_key").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("rows")).where("not kept or rows > 1")
+    fate = fate.select(F.col("doc_id").alias("\x01id"), F.col("text_key").alias("\x01key"), F.col("kept").alias("\x01again"))
+    same = (F.col(f"`{id_col}`") == F.col("`\x01id`")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("`\x01key`"))
+    told = df.join(fate, same, "left")
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    once = told.where("`\x01again` is null").select(*columns)
+    many = told.where("`\x01again`").select(*columns).dropDuplicates([id_col, text_col])
+    return once.union(many)
