@@ -91,3 +91,27 @@ class Words:
 
 def blocks_for(rows: int, each: int) -> int:
     return max(1, math.ceil(rows / each))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; only where it is unset, as in tests, a new one."""
+    import tempfile
+
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """`df` written as a Parquet table in the shared folder and read again: its lineage ends there, and lost executors
+    lose nothing of it.  The table goes when the JVM ends."""
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)

@@ -14,27 +14,19 @@ Every link between two components that share a bucket is thereby found, and ever
 from __future__ import annotations
 
 import hashlib
-import tempfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import U64, Words, mix64, slices, texts, window_hashes
+from loomgraph.llm.common import U64, Words, mix64, shared_folder, slices, texts, window_hashes
 
 WORDS = 5
 COORDINATES = 384
 EMPTY = np.iinfo(np.uint64).max
 
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to the folder that spark.checkpoint.dir names; only where it is unset, as in tests, to a new one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-
-
 def banding(percent: int, coordinates: int = COORDINATES, miss: float = 1e-6) -> tuple[int, int]:
     """(bands, rows): the longest bands for which a pair at the threshold shares none with probability `miss` at most."""
     s = percent / 100
@@ -228,8 +220,7 @@ def near_duplicates(df: DataFrame, *, percent: int = 80, id_col: str = "doc_id",
     own, linked by their texts.  An empty table gives an empty result.  Other columns are ignored.  `with_key` adds
     text_key, Spark's xxhash64 of the text.
     """
-    spark = df.sparkSession
-    ensure_checkpoints(spark)
+    shared_folder(df.sparkSession)
     bands, rows = banding(percent)
     docs = texts(df, id_col, text_col)
     made = signatures(docs.withColumn("text_key", F.xxhash64("text")), bands, rows).checkpoint()

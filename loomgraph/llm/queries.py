@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, factorization, licenses, near_dedup, packing, projected_knn, quality_rules, rule_ensemble, secrets
+from loomgraph.llm import bpe, factorization, gru_lm, licenses, near_dedup, packing, projected_knn, quality_rules, rule_ensemble, secrets
 from loomgraph.llm.common import read_table, remainder
 
 
@@ -19,6 +19,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(read_table(spark, sf_dir, "documents"))
 
 
+def op3_gru_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.score_documents(read_table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 10) == 0)
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), percent=85)
 
@@ -63,7 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            op1_quality_rules, op2_secret_scan, op4_minhash_near_dedup, op5_license_scan, op6_best_fit_packing,
+            op1_quality_rules, op2_secret_scan, op3_gru_scoring, op4_minhash_near_dedup, op5_license_scan, op6_best_fit_packing,
             op7_byte_bpe, op8_rule_ensemble, op9_projected_knn, op10_factorization_machine,
         )
     }
