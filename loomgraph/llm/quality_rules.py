@@ -48,14 +48,13 @@ def line_fails(line: bytes, rules: LineRules) -> str | None:
     n = len(words)
     if not n:
         return None
-    size = sum(map(len, words))
-    if size - len(line.translate(None, SYMBOLS)) + len(line) - size > rules.symbol_share * size:
-        return "punctuation"
-    if len(MARKED.findall(line)) > rules.marked_share * n:
-        return "punctuation"
     dividers = sum(w in DIVIDERS for w in words)
     if dividers > rules.divider_share * n and (dividers >= 2 or n <= 4):
         return "navigation"
+    if len(line) - len(line.translate(None, SYMBOLS)) > rules.symbol_share * sum(map(len, words)):
+        return "punctuation"
+    if len(MARKED.findall(line)) > rules.marked_share * n:
+        return "punctuation"
     if n <= 12 and BOILERPLATE.search(line):
         return "boilerplate"
     if n >= WINDOW and sum(map(bytes.__eq__, words, words[1:])) > rules.stutter_share * n:
