@@ -115,3 +115,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of steps whose results are saved: it does so once the driver's JVM has collected
+    what refers to them, which a driver with memory to spare may put off for long."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -78,21 +78,27 @@ class Network:
         return Network(*out)
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 def run_window(net: Network, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
     """States after each step (the first is `h`), and what each step needs to go back."""
     size = h.shape[1]
     states, caches = np.empty((len(x) + 1, *h.shape), dtype=np.float32), []
     states[0] = h
+    puts = net.inputs[x]
     for t in range(len(x)):
-        put, own = net.inputs[x[t]], states[t] @ net.recur
-        gates = sigmoid(put[:, : 2 * size] + own[:, : 2 * size])
+        put, own = puts[t], states[t] @ net.recur
+        gates = own[:, : 2 * size] + put[:, : 2 * size]
+        np.negative(gates, out=gates)
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
         z, r, a = gates[:, :size], gates[:, size:], own[:, 2 * size :]
-        n = np.tanh(put[:, 2 * size :] + r * a)
-        states[t + 1] = n + z * (states[t] - n)
+        n = r * a
+        n += put[:, 2 * size :]
+        np.tanh(n, out=n)
+        into = states[t + 1]
+        np.subtract(states[t], n, out=into)
+        into *= z
+        into += n
         caches.append((z, r, a, n))
     return states, caches
 
@@ -101,41 +107,57 @@ def output_loss(net: Network, h: np.ndarray, y: np.ndarray, grads: Network | Non
     """Natural log-probability of each target's class and, for words with an output, of the word in it; with `grads`
     also adds to their output parts and returns the derivative of the loss for h (of sums over targets)."""
     kind = np.where(y < HEADS, y // EACH, CLASSES + y - HEADS)
-    logits = h @ net.to_class + net.class_bias
-    logits -= logits.max(axis=1, keepdims=True)
-    e = np.exp(logits)
-    total = e.sum(axis=1)
     at = np.arange(len(y))
-    out = (logits[at, kind] - np.log(total)).astype(np.float64)
+    e = h @ net.to_class
+    e += net.class_bias
+    chosen = e[at, kind]
+    total = _exponentials(e)
+    out = (np.minimum(chosen, TOP) - np.log(total)).astype(np.float64)
     back = None
     if grads is not None:
-        e /= total[:, None]
+        e *= (1 / total)[:, None]
         e[at, kind] -= 1
         grads.to_class += h.T @ e
-        grads.class_bias += e.sum(axis=0)
+        grads.class_bias += ONES[: len(e)] @ e
         back = e @ net.to_class.T
-    order = np.argsort(kind, kind="stable")
+    order = np.argsort(kind.astype(np.uint8), kind="stable")
     ends = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+    order = order[: ends[CLASSES]]
+    own, words, chosen, totals = h[order], y[order] % EACH, np.empty(len(order), dtype=np.float32), np.empty(len(order), dtype=np.float32)
+    behind = np.empty_like(own) if grads is not None else None
     for c in range(CLASSES):
-        rows = order[ends[c] : ends[c + 1]]
-        if not len(rows):
+        rows = slice(ends[c], ends[c + 1])
+        if rows.start == rows.stop:
             continue
-        own, word = h[rows], y[rows] - c * EACH
-        logits = own @ net.to_word[c] + net.word_bias[c]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1)
-        at = np.arange(len(rows))
-        out[rows] += logits[at, word] - np.log(total)
+        e = own[rows] @ net.to_word[c]
+        e += net.word_bias[c]
+        word, line = words[rows], at[: rows.stop - rows.start]
+        chosen[rows] = e[line, word]
+        totals[rows] = total = _exponentials(e)
         if grads is not None:
-            e /= total[:, None]
-            e[at, word] -= 1
-            grads.to_word[c] += own.T @ e
-            grads.word_bias[c] += e.sum(axis=0)
-            back[rows] += e @ net.to_word[c].T
+            e *= (1 / total)[:, None]
+            e[line, word] -= 1
+            grads.to_word[c] += own[rows].T @ e
+            grads.word_bias[c] += ONES[: len(e)] @ e
+            behind[rows] = e @ net.to_word[c].T
+    out[order] += np.minimum(chosen, TOP) - np.log(totals)
+    if grads is not None:
+        back[order] += behind
     return out, back
 
 
+#: Logits are held below this, so that exponentials stay finite without a pass for each row's largest.
+TOP = np.float32(60)
+ONES = np.ones(1 << 16, dtype=np.float32)
+
+
+def _exponentials(e: np.ndarray) -> np.ndarray:
+    """Turns logits into their exponentials; the sum of each row."""
+    np.minimum(e, TOP, out=e)
+    np.exp(e, out=e)
+    return e @ ONES[: e.shape[1]]
+
+
 def lanes_of(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sequences side by side, longest first: (steps, lanes) of symbols, lengths, and the order taken."""
     lengths = np.array([len(s) for s in sequences])
@@ -197,13 +219,20 @@ class Trainer:
         for t in range(len(x) - 1, -1, -1):
             z, r, a, n = caches[t]
             d += from_out[t]
-            dn = d * (1 - z) * (1 - n * n)
-            into[t, :, :size] = d * (states[t] - n) * z * (1 - z)
-            into[t, :, size : 2 * size] = dn * a * r * (1 - r)
-            into[t, :, 2 * size :] = dn
+            dz, dr, dn, da = into[t, :, :size], into[t, :, size : 2 * size], into[t, :, 2 * size :], own[t, :, 2 * size :]
+            keep = d * z
+            np.subtract(d, keep, out=dn)  # d (1 - z)
+            np.subtract(states[t], n, out=dz)
+            dz *= keep
+            dz *= 1 - z
+            n *= n
+            dn *= 1 - n
+            np.multiply(dn, r, out=da)
+            np.multiply(da, a, out=dr)
+            dr *= 1 - r
             own[t, :, : 2 * size] = into[t, :, : 2 * size]
-            own[t, :, 2 * size :] = dn * r
-            d = d * z + own[t] @ net.recur.T
+            d = own[t] @ net.recur.T
+            d += keep
         scale = 1 / max(1, int(inside.sum()))
         grads.recur = states[:-1].reshape(-1, size).T @ own.reshape(-1, 3 * size)
         for k, g in enumerate((grads.recur, grads.to_class, grads.class_bias, grads.to_word, grads.word_bias), 1):
@@ -285,7 +314,7 @@ def sequences_of(table: DataFrame, words: DataFrame, counts: Counts, id_type: st
     symbols, compressed); documents of a chunk meet the counts of the chunk's words."""
 
     def meet(docs: pa.Table, own: pa.Table) -> pa.Table:
-        docs = docs.sort_by("doc_id")
+        docs = docs.sort_by("doc_id")  # whatever the order in which rows arrive
         n = own.num_rows
         local, c, shape = (own.column(k).to_numpy() for k in ("local", "c", "shape"))
         head = own.column("head").to_numpy()
@@ -302,7 +331,12 @@ def sequences_of(table: DataFrame, words: DataFrame, counts: Counts, id_type: st
             rows["base_score"].append(float(base[ids].sum()))
             rows["tail_score"].append(float(tail[ids].sum()))
             rows["seq"].append(zlib.compress(symbol[ids].tobytes(), 1))
-        return pa.table({"doc_id": docs.column("doc_id"), "held": docs.column("held"), **rows})
+        out = pa.table({"doc_id": docs.column("doc_id"), "held": docs.column("held"), **rows})
+        # documents of like length side by side waste no lanes; the groups themselves come in no order of length
+        order = np.argsort(np.array(rows["n_tokens"]), kind="stable")
+        groups = [order[i : i + LANES] for i in range(0, len(order), LANES)]
+        turns = np.random.default_rng(len(order)).permutation(len(groups))
+        return out.take(pa.array(np.concatenate([groups[i] for i in turns])))
 
     docs = table.where("ids is not null").select("chunk", "doc_id", "held", "ids")
     schema = f"doc_id {id_type}, held boolean, n_tokens long, n_known long, base_score double, tail_score double, seq binary"

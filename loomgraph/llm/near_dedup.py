@@ -20,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import U64, Words, mix64, shared_folder, slices, texts, window_hashes
+from loomgraph.llm.common import U64, Words, mix64, release, shared_folder, slices, texts, window_hashes
 
 WORDS = 5
-COORDINATES = 384
+#: Coordinates of a sketch.
+COORDINATES = 1152
 EMPTY = np.iinfo(np.uint64).max
 
 
@@ -60,23 +61,38 @@ def shingle_sets(raw: list[bytes]) -> list[np.ndarray]:
 
 def sketches(sets: list[np.ndarray], t: int = COORDINATES) -> np.ndarray:
     """One row of t coordinates for each set; all EMPTY for an empty set."""
-    out = np.full(len(sets) * t, EMPTY, dtype=U64)
+    out = np.full((len(sets), t), EMPTY, dtype=U64)
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    elements = np.concatenate(sets) if len(sets) else np.empty(0, dtype=U64)
+    group = max(1, (1 << 20) // (8 * t))  # coordinates of one group stay in the processor's cache
+    order = np.argsort(-sizes, kind="stable")[: int((sizes > 0).sum())]  # sets of like size need about as many rounds
+    for begin in range(0, len(order), group):
+        rows = order[begin : begin + group]
+        out[rows] = _filled([sets[i] for i in rows], t)
+    return out
+
+
+def _filled(sets: list[np.ndarray], t: int) -> np.ndarray:
+    out = np.full(len(sets) * t, EMPTY, dtype=U64)
+    owner = np.repeat(np.arange(len(sets)) * t, [len(s) for s in sets])
+    elements = np.concatenate(sets)
+    open_ = np.arange(len(sets))  # sets with an empty coordinate
     for k in range(2 * t):
-        if not len(elements):
-            break
-        value = mix64(elements + U64((k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-        place = ((value >> U64(32)) * U64(t)) >> U64(32) if k < t else np.full(len(value), k - t, dtype=U64)
-        at = owner * t + place.astype(np.int64)
-        value = (U64(k) << U64(32)) | (value & U64(0xFFFFFFFF))
-        free = out[at] >= U64(k) << U64(32)
-        np.minimum.at(out, at[free], value[free])
-        open_ = (out.reshape(-1, t) == EMPTY).any(axis=1)
+        if k < t:
+            spread = elements * U64((k * 0x9E3779B97F4A7C16 + 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF)  # by an odd number of the round's own
+            at = owner + (((spread >> U64(32)) * U64(t)) >> U64(32)).astype(np.int64)
+        else:
+            at = owner + (k - t)
+        free = np.flatnonzero(out[at] >= U64(k) << U64(32))  # earlier rounds have smaller values
+        if len(free):
+            at, value = at[free], mix64(elements[free] + U64((k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+            np.minimum.at(out, at, (U64(k) << U64(32)) | (value & U64(0xFFFFFFFF)))
         if k < 4 or k % 8 == 0 or k >= t:
-            left = open_[owner]
-            if not left.all():
+            still = (out.reshape(-1, t)[open_] == EMPTY).any(axis=1)
+            if not still.all():
+                open_ = open_[still]
+                if not len(open_):
+                    break
+                left = np.isin(owner, open_ * t)
                 elements, owner = elements[left], owner[left]
     return out.reshape(-1, t)
 
@@ -100,8 +116,8 @@ def class_of(own: np.ndarray) -> bytes:
 
 
 def signatures(df: DataFrame, bands: int, rows: int) -> DataFrame:
-    """doc_id, text_key, n (size of the set), class (a 128-bit digest of the set), bands and bits; the last three null for an
-    empty set."""
+    """doc_id, text_key, n (size of the set), class (a 128-bit digest of the set), short (64 bits of it), bands and bits; the
+    last four null for an empty set."""
     id_type = df.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -112,21 +128,24 @@ def signatures(df: DataFrame, bands: int, rows: int) -> DataFrame:
             full = [len(s) > 0 for s in sets]
             mask = pa.array([not x for x in full])
             lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32)), pa.array(m.ravel()), mask=mask)
+            named = [class_of(s) if ok else None for s, ok in zip(sets, full, strict=True)]
+            short = [None if c is None else int.from_bytes(c[:8], "little", signed=True) for c in named]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], type=pa.int64()), pa.array([class_of(s) if ok else None for s, ok in zip(sets, full, strict=True)], type=pa.binary()), lists(keys), lists(bits)],
-                names=["doc_id", "text_key", "n", "class", "bands", "bits"],
+                [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], type=pa.int64()), pa.array(named, type=pa.binary()), pa.array(short, type=pa.int64()), lists(keys), lists(bits)],
+                names=["doc_id", "text_key", "n", "class", "short", "bands", "bits"],
             )
 
-    return df.mapInArrow(run, f"doc_id {id_type}, text_key long, n long, class binary, bands array<long>, bits array<long>")
+    return df.mapInArrow(run, f"doc_id {id_type}, text_key long, n long, class binary, short long, bands array<long>, bits array<long>")
 
 
 # --- verification ----------------------------------------------------------------------------------------------------
 
 
 def near_enough(a: Column, b: Column, percent: int, coordinates: int = COORDINATES) -> Column:
-    """False only for bits that two sets at the threshold would show with a probability below 1e-14."""
+    """False only for bits that two sets at the threshold would show with a probability of 1e-9 (six deviations), which is
+    far below that of sharing no band."""
     p = (1 + percent / 100) / 2
-    least = int(coordinates * p - 8 * (coordinates * p * (1 - p)) ** 0.5)
+    least = int(coordinates * p - 6 * (coordinates * p * (1 - p)) ** 0.5)
     differ = sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(1, coordinates // 64)), F.bit_count(a[0].bitwiseXOR(b[0])))
     return F.lit(coordinates) - differ >= least
 
@@ -226,35 +245,46 @@ def near_duplicates(df: DataFrame, *, percent: int = 80, id_col: str = "doc_id",
     made = signatures(docs.withColumn("text_key", F.xxhash64("text")), bands, rows).checkpoint()
     named = made.where("doc_id is not null and n > 0")
     # rows of a class have the same set, so any row's sketch will do
-    one = named.groupBy("class").agg(F.min("doc_id").alias("first"), *(F.any_value(c).alias(c) for c in ("n", "bands", "bits"))).checkpoint()
-    classes = one.select("class", "first")
-
-    # buckets that two classes share, by their smallest and largest class
-    members = one.select("class", "n", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.min("class").alias("pivot"), F.max("class").alias("other")).where("pivot <> other").select("band", "pivot")
-    inside = members.join(shared, "band").checkpoint()
-
-    near = inside.where("class <> pivot").select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct()
-    looks = one.join(inside.select("class").distinct(), "class").select("class", "first", "n", "bits").checkpoint()
+    one = named.groupBy("class").agg(F.min("doc_id").alias("first"), *(F.any_value(c).alias(c) for c in ("n", "short", "bands", "bits")))
+    classes = named.groupBy("class").agg(F.min("doc_id").alias("first"))
+
+    # buckets that two classes share, by their smallest and largest class; 64 bits stand for a class here, and should
+    # two classes ever share those, both are looked up by them
+    members = one.select("short", F.explode("bands").alias("band"))
+    shared = members.groupBy("band").agg(F.min("short").alias("pivot"), F.max("short").alias("other")).where("pivot <> other").select("band", "pivot")
+    held = members.join(shared, "band").checkpoint()
+    release(df.sparkSession)
+    looks = one.select("class", "first", "n", "short", "bits", "bands").join(held.select("short").distinct(), "short").checkpoint()
+    inside = held.join(looks.select("short", "class"), "short").select("band", "class")
+
+    near = held.where("short <> pivot").select("short", "pivot").distinct()
     left, right = looks.alias("x"), looks.alias("y")
-    near = near.join(left, F.col("a") == F.col("x.class")).join(right, F.col("b") == F.col("y.class"))
-    pairs = near.where(sizes_fit(F.col("x.n"), F.col("y.n"), percent) & near_enough(F.col("x.bits"), F.col("y.bits"), percent)).select("a", "b").checkpoint()
+    near = near.join(left, near["short"] == F.col("x.short")).join(right, F.col("pivot") == F.col("y.short"))
+    fit = sizes_fit(F.col("x.n"), F.col("y.n"), percent) & near_enough(F.col("x.bits"), F.col("y.bits"), percent)
+    pairs = near.where(fit).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).checkpoint()
+    release(df.sparkSession)
     packs = packed_texts(docs, looks.select(F.col("first").alias("doc_id"), "class")).checkpoint()
+    release(df.sparkSession)
     links = confirmed(pairs, packs, percent).checkpoint()
+    release(df.sparkSession)
     rooted = components(links).checkpoint()
 
     # what is outside the main component of a bucket is held against the rest of the bucket
     heavy = rooted.groupBy("root").agg(F.count("*").alias("weight"))
     placed = rooted.join(heavy, "root")
-    seen = inside.select("band", "class").join(placed, F.col("class") == F.col("node"), "left")
+    seen = inside.join(placed, F.col("class") == F.col("node"), "left")
     seen = seen.select("band", "class", F.coalesce("root", "class").alias("root"), F.coalesce("weight", F.lit(1)).alias("weight"))
     mixed = seen.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.struct("weight", "root")).alias("main")).where("low <> high").select("band", F.col("main.root").alias("main"))
-    inner = seen.join(mixed, "band").join(looks.select("class", "n", "bits"), "class").select("band", "class", "root", "main", "n", "bits").checkpoint()
+    inner = seen.join(mixed, "band").join(looks.select("class", "n", "bits", "bands"), "class").select("band", "class", "root", "main", "n", "bits", "bands").checkpoint()
     x, y = inner.where("root <> main").alias("x"), inner.alias("y")
-    fit = (F.col("x.band") == F.col("y.band")) & (F.col("x.root") != F.col("y.root")) & sizes_fit(F.col("x.n"), F.col("y.n"), percent) & near_enough(F.col("x.bits"), F.col("y.bits"), percent)
-    rest = x.join(y, fit).select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
+    once = (F.col("y.root") == F.col("y.main")) | (F.col("x.class") < F.col("y.class"))
+    # a pair that shares several bands is taken at the first
+    agree = F.array_position(F.zip_with("x.bands", "y.bands", lambda a, b: a == b), True) == F.array_position("x.bands", F.col("x.band"))
+    fit = (F.col("x.band") == F.col("y.band")) & (F.col("x.root") != F.col("y.root")) & once & sizes_fit(F.col("x.n"), F.col("y.n"), percent) & near_enough(F.col("x.bits"), F.col("y.bits"), percent) & agree
+    rest = x.join(y, fit).select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))
     known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = confirmed(rest.join(known, ["a", "b"], "left_anti"), packs, percent)
+    more = confirmed(rest.join(known, ["a", "b"], "left_anti").checkpoint(), packs, percent).checkpoint()
+    release(df.sparkSession)
     rooted = components(links.union(more)).checkpoint()
 
     joined = classes.join(rooted, F.col("class") == F.col("node"), "left").select("class", "first", F.coalesce("root", "class").alias("root"))
