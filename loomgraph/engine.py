@@ -55,14 +55,6 @@ class Engine:
     def compile(self, node, catalog: Catalog | None = None) -> Relation:
         return Compiler(self.spark, catalog or self.catalog, self.options, self.view).compile(node)
 
-    def rewrite(self, text: str) -> str:
-        """The query over the source that gives this query's answers over the view, as SPARQL text."""
-        from loomgraph.plans.printer import printed
-        from loomgraph.plans.unfold import unfolded
-
-        query = self.plan(text)
-        return printed(replace(query, pattern=unfolded(query.pattern, self.view, self.options.dedup)) if self.view else query)
-
     # --- queries
 
     def sparql(self, text: str, out: str = "native") -> DataFrame:
