@@ -288,3 +288,18 @@ def test_pipeline_stages_against_their_operators(spark, tmp_path):
     assert kept["best_fit_packing"] == kept["secret_scan"] == kept["near_dedup"]
     again = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(tuple, again.select("doc_id", "piece", "n_tokens").collect()), key=repr) == sorted(map(tuple, stage.select("doc_id", "piece", "n_tokens").collect()), key=repr)
+
+
+def test_pipeline_drops_copies_of_similarity_080_to_085(spark):
+    """The near-dedup stage's threshold is 0.8; op4's 0.85 binds that query alone."""
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(104)]
+    near = [*words[:50], "other", *words[51:80], "another", *words[81:]]  # 10 of 100 windows differ: 90 / 110
+    far = [*words[:20], "x", *words[21:50], "y", *words[51:80], "z", *words[81:]]  # 15 of 100 windows differ: 85 / 115
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))]
+    a, b, c = (set_of(t) for _, t in rows)
+    assert 80 * len(a | b) <= 100 * len(a & b) < 85 * len(a | b) and 100 * len(a & c) < 80 * len(a | c)
+    assert 100 * len(b & c) < 80 * len(b | c)
+    left = corpus_pipeline.near_duplicates(spark, table(spark, rows), "")
+    assert sorted(r.doc_id for r in left.collect()) == [1, 3]
