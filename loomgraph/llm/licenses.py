@@ -55,6 +55,8 @@ TEMPLATES = (
 )
 #: Licence words that a file looks up at most, besides those of phrases; and the least share of a template's weight.
 LOOKUPS, LEAST_SHARE = 32, 0.6
+#: Of a word that all rows hold.
+LEAST_WEIGHT = 1e-2
 
 
 def words_of(text: str) -> list[str]:
@@ -106,14 +108,15 @@ class Index:
 
 
 def build_index(df: DataFrame, *, base: tuple[Phrase, ...] = BASE_PHRASES, templates: tuple[Template, ...] = TEMPLATES, text_col: str = "text") -> Index:
-    """Weighs the templates' words by their IDF over all rows of `df`; words in more than a tenth of the rows weigh nothing."""
+    """Weighs the templates' words by their IDF over all rows of `df`.  Every word weighs something at every size, also
+    one in all rows, so a notice that is common is found as a rare one is."""
     import math
 
     known = {p.text for p in base}
     keys = tuple(dict.fromkeys(t.key for t in templates if t.key not in known))
     vocabulary = sorted({w for t in templates for w in words_of(t.text)})
     n, counts = document_frequencies(df, vocabulary, text_col=text_col)
-    idf = {w: math.log((n + 1) / (c + 1)) + 1e-6 for w, c in counts.items() if c <= 0.1 * n or n < 50}
+    idf = {w: math.log((n + 1) / (c + 1)) + LEAST_WEIGHT for w, c in counts.items()}
     return Index(base + tuple(Phrase(k, "") for k in keys), templates, idf)
 
 

@@ -156,6 +156,16 @@ def test_license_templates_tolerate_changed_words(spark):
     assert "mit" in got[0].split(",") and got[1] == ""
 
 
+def test_license_notices_in_many_rows_are_found(spark):
+    """A notice in a third of 120 rows, or in all."""
+    for label, every in (("mit", 3), ("cc-by-nc", 3), ("bsd", 1)):
+        text = next(t.text for t in licenses.TEMPLATES if t.label == label)
+        df = table(spark, [(i, f"x{i} {text} y{i}" if i % every == 0 else f"plain words {i}") for i in range(120)])
+        got = {r.doc_id: r for r in licenses.scan(df, licenses.build_index(df)).collect()}
+        assert all((label in r.labels.split(",")) == (i % every == 0) for i, r in got.items())
+        assert all(r.score > 0.99 for i, r in got.items() if i % every == 0)
+
+
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 
