@@ -1,16 +1,15 @@
 """License scans by a positional rare-token index, in DataFrame operations only.
 
-Templates are indexed by word: a posting is (template, offset).  Each file looks up its licence words of highest IDF;
-a word at place p with a posting at offset o votes for its template to start at p - o, so postings intersect where votes
-agree on that relative position.  A template's label stands only where its mandatory key phrase is also found at the
-aligned place.  Key phrases and the base phrases are short templates all of whose words must agree.
+Each phrase is indexed under its word of highest IDF.  A file looks up these words; one at place p with offset o proposes
+its phrase to start at p - o, and the phrase stands where all of its words are there.  A template's label needs its
+mandatory key phrase, so each place of the key proposes the template; it is then held against all the template's words at
+their places, and stands where those that agree make up enough of its weight.  Nothing is limited by number.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,8 +52,8 @@ TEMPLATES = (
     Template("Licensed under CC BY-NC 4.0", "cc-by-nc", "cc by nc"),
     Template("This work is licensed under a Creative Commons Attribution 4.0 International License", "cc-by", "creative commons attribution"),
 )
-#: Licence words that a file looks up at most, besides those of phrases; and the least share of a template's weight.
-LOOKUPS, LEAST_SHARE = 32, 0.6
+#: The least share of a template's weight.
+LEAST_SHARE = 0.6
 #: Of a word that all rows hold.
 LEAST_WEIGHT = 1e-2
 
@@ -83,19 +82,20 @@ class Index:
     templates: tuple[Template, ...]
     idf: dict[str, float]
 
-    def entries(self) -> dict[str, list[tuple[int, int, float, float]]]:
-        """word -> (template's number, offset, weight, weight of the whole)."""
-        out: dict[str, list[tuple[int, int, float, float]]] = {}
+    def anchors(self) -> dict[str, list[tuple[int, int, list[str]]]]:
+        """word -> (phrase's number, the word's offset in it, the phrase's words): each phrase under its rarest word."""
+        out: dict[str, list[tuple[int, int, list[str]]]] = {}
         for t, p in enumerate(self.phrases):
             own = words_of(p.text)
-            for o, w in enumerate(own):
-                out.setdefault(w, []).append((t, o, 1.0, float(len(own))))
-        for t, x in enumerate(self.templates, len(self.phrases)):
-            own = words_of(x.text)
-            whole = sum(self.idf.get(w, 0.0) for w in own)
-            for o, w in enumerate(own):
-                if self.idf.get(w, 0.0) > 0:
-                    out.setdefault(w, []).append((t, o, self.idf[w], whole))
+            o = max(range(len(own)), key=lambda i: self.idf[own[i]])
+            out.setdefault(own[o], []).append((t, o, own))
+        return out
+
+    def by_key(self) -> dict[int, list[tuple[int, int, list[tuple[str, float]]]]]:
+        """Number of a key phrase -> (template's number, the key's offset in it, the template's words and weights)."""
+        out: dict[int, list[tuple[int, int, list[tuple[str, float]]]]] = {}
+        for t, (x, (k, o)) in enumerate(zip(self.templates, self.keys(), strict=True), len(self.phrases)):
+            out.setdefault(k, []).append((t, o, [(w, self.idf[w]) for w in words_of(x.text)]))
         return out
 
     def keys(self) -> list[tuple[int, int]]:
@@ -114,7 +114,7 @@ def build_index(df: DataFrame, *, base: tuple[Phrase, ...] = BASE_PHRASES, templ
 
     known = {p.text for p in base}
     keys = tuple(dict.fromkeys(t.key for t in templates if t.key not in known))
-    vocabulary = sorted({w for t in templates for w in words_of(t.text)})
+    vocabulary = sorted({w for x in (*templates, *base) for w in words_of(x.text)})
     n, counts = document_frequencies(df, vocabulary, text_col=text_col)
     idf = {w: math.log((n + 1) / (c + 1)) + LEAST_WEIGHT for w, c in counts.items()}
     return Index(base + tuple(Phrase(k, "") for k in keys), templates, idf)
@@ -127,46 +127,38 @@ def scan(df: DataFrame, index: Index, *, n_base: int = len(BASE_PHRASES), id_col
     A null or empty text has no words: counts of 0, null places, empty labels, score 0.  Repeated rows are scanned each
     by itself; no shuffle, so nothing depends on keys.  An empty table gives an empty result.  Other columns are ignored.
     """
-    entries = index.entries()
-    phrase_words = sorted({w for p in index.phrases for w in words_of(p.text)})
-    rare = {w: v for w, v in index.idf.items() if w in entries}
-    posting = "array<struct<t:int,o:int,v:double,full:double>>"
-    lookup = F.create_map(*(x for w, es in entries.items() for x in (F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(o).alias("o"), F.lit(v).alias("v"), F.lit(f).alias("full")) for t, o, v, f in es)).cast(posting))))
-    weight = F.create_map(*(x for w, v in {"": 0.0, **rare}.items() for x in (F.lit(w), F.lit(v))))
-
-    words = df.select(F.col(f"`{id_col}`").alias("doc_id"), file_words(F.col(f"`{text_col}`")).alias("words"))
-    placed = F.filter(F.transform("words", lambda w, i: F.struct(F.lower(w).alias("w"), i.alias("p"))), lambda x: x["w"].isin(*entries))
-    occurring = words.select("doc_id", F.size("words").cast("long").alias("n_words"), placed.alias("occ"))
-    ranked = F.array_sort(F.transform(F.array_distinct(F.transform("occ", lambda x: x["w"])), lambda w: F.struct((-F.coalesce(F.try_element_at(weight, w), F.lit(0.0))).alias("v"), w.alias("w"))))
-    chosen = F.transform(F.slice(F.filter(ranked, lambda x: x["v"] < 0), 1, LOOKUPS), lambda x: x["w"])
-    looked = occurring.select("doc_id", "n_words", F.filter("occ", lambda x: x["w"].isin(*phrase_words) | F.array_contains(chosen, x["w"])).alias("occ"))
-    votes = F.flatten(F.transform("occ", lambda x: F.transform(F.try_element_at(lookup, x["w"]), lambda q: F.struct(q["t"].alias("t"), (x["p"] - q["o"]).alias("start"), q["v"].alias("v"), q["full"].alias("full")))))
-
-    # votes for the same template and start are neighbours once sorted; a fold sums each run
-    least = F.lit(LEAST_SHARE)
-    fits = lambda t, v, full: F.when(t < len(index.phrases), v >= full).otherwise(v >= least * full)
-    places = "array<struct<t:int,start:int,share:double>>"
-    start = F.struct(F.lit(-1).alias("t"), F.lit(0).alias("start"), F.lit(0.0).alias("v"), F.lit(1.0).alias("full"), F.array().cast(places).alias("out"))
+    anchors = index.anchors()
+    phrase = "array<struct<t:int,o:int,own:array<string>>>"
+    lookup = F.create_map(*(x for w, es in anchors.items() for x in (F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(o).alias("o"), F.array(*map(F.lit, own)).alias("own")) for t, o, own in es)).cast(phrase))))
+    template = "array<struct<t:int,o:int,full:double,own:array<struct<w:string,v:double>>>>"
+    keyed = F.create_map(*(x for k, ts in index.by_key().items() for x in (F.lit(k), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(o).alias("o"), F.lit(sum(v for _, v in own)).alias("full"), F.array(*(F.struct(F.lit(w).alias("w"), F.lit(v).alias("v")) for w, v in own)).alias("own")) for t, o, own in ts)).cast(template))))
 
-    def closed(acc: Column) -> Column:
-        one = F.struct(acc["t"].alias("t"), acc["start"].alias("start"), (acc["v"] / acc["full"]).alias("share"))
-        return F.when((acc["t"] >= 0) & fits(acc["t"], acc["v"], acc["full"]), F.concat(acc["out"], F.array(one))).otherwise(acc["out"])
+    words = df.select(F.col(f"`{id_col}`").alias("doc_id"), file_words(F.lower(F.col(f"`{text_col}`"))).alias("words"))
+    placed = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("p"))), lambda x: x["w"].isin(*anchors))
+    occurring = words.select("doc_id", "words", F.size("words").cast("long").alias("n_words"), placed.alias("occ"))
 
-    def step(acc: Column, x: Column) -> Column:
-        same = (acc["t"] == x["t"]) & (acc["start"] == x["start"])
-        return F.struct(x["t"].alias("t"), x["start"].alias("start"), F.when(same, acc["v"] + x["v"]).otherwise(x["v"]).alias("v"), x["full"].alias("full"), F.when(same, acc["out"]).otherwise(closed(acc)).alias("out"))
+    def stands(start: Column, own: Column) -> Column:
+        return F.when(start >= 0, F.slice("words", start + 1, F.size(own)) == own).otherwise(False)
 
-    summed = looked.select("doc_id", "n_words", F.when(F.size("occ") > 0, F.aggregate(F.array_sort(votes), start, step, closed)).otherwise(F.array().cast(places)).alias("places"))
-    keys = index.keys()
+    def phrases_at(x: Column) -> Column:
+        right = F.filter(F.try_element_at(lookup, x["w"]), lambda q: stands(x["p"] - q["o"], q["own"]))
+        return F.transform(right, lambda q: F.struct(q["t"].alias("t"), (x["p"] - q["o"]).alias("start"), F.lit(1.0).alias("share")))
+
+    found = F.flatten(F.transform("occ", phrases_at))
+    places = "array<struct<t:int,start:int,share:double>>"
+    none = F.array().cast(places)
+    phrased = occurring.select("doc_id", "words", "n_words", F.when(F.size("occ") > 0, found).otherwise(none).alias("found"))
 
-    def aligned(x: Column, k: int, o: int) -> Column:
-        return F.exists("places", lambda p: (p["t"] == k) & (p["start"] == x["start"] + o))
+    def share(start: Column, q: Column) -> Column:
+        held = F.transform(q["own"], lambda y, i: F.when(F.get("words", start + i) == y["w"], y["v"]).otherwise(0.0))
+        return F.aggregate(held, F.lit(0.0), lambda s, v: s + v) / q["full"]
 
-    def verified(x: Column) -> Column:
-        tests = [(x["t"] == t) & aligned(x, k, o) for t, (k, o) in enumerate(keys, len(index.phrases))]
-        return (x["t"] < n_base) | reduce(Column.__or__, tests, F.lit(False))
+    def templates_at(x: Column) -> Column:
+        return F.transform(F.coalesce(F.try_element_at(keyed, x["t"]), F.array().cast(template)), lambda q: F.struct(q["t"].alias("t"), (x["start"] - q["o"]).alias("start"), share(x["start"] - q["o"], q).alias("share")))
 
-    sure = summed.withColumn("places", F.when(F.size("places") > 0, F.filter("places", verified)).otherwise(F.col("places")))
+    whole = F.filter(F.flatten(F.transform("found", templates_at)), lambda x: x["share"] >= LEAST_SHARE)
+    both = F.array_sort(F.concat(F.filter("found", lambda x: x["t"] < n_base), whole))
+    sure = phrased.select("doc_id", "n_words", F.when(F.size("found") > 0, both).otherwise(none).alias("places"))
     names = [p.label for p in index.phrases] + [t.label for t in index.templates]
     label = F.create_map(*(x for t, name in enumerate(names) for x in (F.lit(t), F.lit(name))))
     base = F.filter("places", lambda x: x["t"] < n_base)

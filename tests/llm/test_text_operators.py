@@ -166,6 +166,17 @@ def test_license_notices_in_many_rows_are_found(spark):
         assert all(r.score > 0.99 for i, r in got.items() if i % every == 0)
 
 
+def test_license_notices_of_one_file_are_all_found(spark):
+    notices = [t.text for t in licenses.TEMPLATES]
+    stray = " ".join(sorted({w for t in notices for w in licenses.words_of(t)}))
+    texts = [" ".join(notices), "\n\n".join(f"{stray} {t}" for t in reversed(notices)), " ".join(notices[6:9])]
+    df = table(spark, [*enumerate(texts), *((i, "plain words only") for i in range(10, 100))])
+    got = {r.doc_id: r for r in licenses.scan(df, licenses.build_index(df)).collect()}
+    every = {t.label for t in licenses.TEMPLATES}
+    assert every <= set(got[0].labels.split(",")) and every <= set(got[1].labels.split(","))
+    assert got[2].labels == "bsd,isc,mpl-2.0" and got[0].score == 1 and got[10].labels == ""
+
+
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 
