@@ -94,33 +94,59 @@ def blocks_for(rows: int, each: int) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; only where it is unset, as in tests, a new one."""
+    """The folder that spark.checkpoint.dir names.  Only where it is unset and the session runs in this one process, as in
+    tests, a new one; on a cluster an unset folder is an error, since a driver's own folder would not be seen by executors."""
     import tempfile
 
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local-cluster") and context.master.startswith("local"):
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        if folder is None:
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
+class Tables:
+    """Parquet tables of one run in the shared folder.  The lineage of what is saved ends there, and lost executors lose
+    nothing of it; the shuffle files of the steps behind a table go when it is written.  Tables go when they are dropped,
+    or else when the JVM ends."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, {}
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        import uuid
+
+        path = f"{shared_folder(self.spark)}/tables/{name}-{uuid.uuid4().hex}"
+        was = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, was)
+        where, files = self._at(path)
+        files.deleteOnExit(where)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path, out
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """For tables that nothing will read again, not even after a lost executor."""
+        for table in tables:
+            where, files = self._at(self.paths.pop(id(table))[0])
+            files.delete(where, True)
+
+    def _at(self, path: str):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+
+#: Spark's switch for dropping shuffle files as soon as the query that made them has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """`df` written as a Parquet table in the shared folder and read again: its lineage ends there, and lost executors
-    lose nothing of it.  The table goes when the JVM ends."""
-    import uuid
-
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of steps whose results are saved: it does so once the driver's JVM has collected
-    what refers to them, which a driver with memory to spare may put off for long."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    return Tables(df.sparkSession).save(df, name)

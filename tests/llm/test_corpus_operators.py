@@ -85,6 +85,47 @@ def test_near_duplicates_match_brute_force(spark, percent):
     assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got)
 
 
+def test_large_buckets_of_unlinked_classes(spark, monkeypatch):
+    """Hundreds of texts that share about two thirds of their shingles and are not linked, a few chains among them, and a
+    very long text with its copy; buckets are cut into many parts and edges contracted to the end."""
+    monkeypatch.setattr(near_dedup, "PART", 40)
+    monkeypatch.setattr(near_dedup, "FEW_EDGES", 3)
+    rng = random.Random(4)
+    fresh = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    base = fresh(80)
+    rows = [(i, " ".join(base + fresh(20))) for i in range(300)]
+    for i in range(0, 60, 3):  # chains: each copy adds to the last
+        text = rows[i][1]
+        for k in range(1, 4):
+            text += " " + " ".join(fresh(8))
+            rows.append((1000 + 10 * i + k, text))
+    long = fresh(60_000)
+    rows += [(5000, " ".join(long)), (5001, " ".join([*long[:-300], *fresh(300)]))]
+    got = near_dedup.near_duplicates(table(spark, rows), percent=85).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_components(rows, 85))
+
+
+def test_links_across_join_what_all_links_join():
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 2**63, 400).astype(np.uint64)
+    sets = [np.unique(np.concatenate((pool[:90], rng.choice(pool, int(rng.integers(2, 30)))))) for _ in range(60)]
+    bits = near_dedup.bits_of(near_dedup.sketches(sets)).view(np.uint64)
+    roots = np.arange(60)
+    roots[10:14] = 10
+    both = lambda a, b: len(np.intersect1d(a, b))
+
+    def closed(links):
+        own = roots.copy()
+        for x, y in links:
+            own[own == own[y]] = own[x]
+        return [own.tolist().index(c) for c in own]
+
+    for left, right in ((np.arange(60), np.arange(60)), (np.arange(25), np.arange(25, 60))):
+        every = [(x, y) for x in left for y in right if x != y and 100 * both(sets[x], sets[y]) >= 85 * len(np.union1d(sets[x], sets[y]))]
+        found = near_dedup.links_across(sets, roots, bits, left, right, 85)
+        assert set(found) <= set(every) and closed(found) == closed(every) and len(found) < 60
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(table(spark, []), percent=85).count() == 0
     assert near_dedup.near_duplicates(table(spark, [(1, None), (2, "")]), percent=85).where("kept").count() == 2
