@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import near_dedup, packing, quality_rules, rule_ensemble, secrets
-from loomgraph.llm.common import read_table, remainder
+from loomgraph.llm.common import read_table, remainder, shared_folder
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,12 +59,16 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows.  Tables between stages go to the shared folder that spark.checkpoint.dir names; only where
-    it is unset, as in tests, to a folder of their own."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    it is unset and the session runs in one process, as in tests, to a folder of their own.
+
+    An empty `documents` gives an empty result.  Columns other than doc_id and text pass through the stages whatever their
+    names; the last stage returns its own.  A null or empty text, a text of any length, a null id, repeated rows: each
+    stage's operator says in its docstring what becomes of them.
+    """
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = read_table(spark, sf_dir, "documents")
     for number, (name, stage) in enumerate(STAGES):
-        path = os.path.join(folder, f"{number}-{name}")
+        path = f"{folder}/{number}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
