@@ -378,11 +378,13 @@ def near_duplicates(df: DataFrame, *, percent: int = 80, id_col: str = "doc_id",
     rooted = merged(rooted, across(members, percent))
     tables.drop(held, inside, looks, seen)
 
-    # a class's component is known by the smallest id in it
+    # a class's component is known by the smallest id in it; what is joined is a table, so that a hot side can be split
     classes = made.where("doc_id is not null and n > 0").groupBy("class").agg(F.min("doc_id").alias("first"))
-    joined = classes.join(rooted, F.col("class") == F.col("node"), "left").select("class", "first", F.coalesce("root", "class").alias("root"))
-    lowest = joined.groupBy("root").agg(F.min("first").alias("component"))
-    where = joined.join(lowest, "root").select("class", "component")
+    linked = tables.save(classes.join(rooted, F.col("class") == F.col("node")).select("class", "first", "root"), "linked")
+    lowest = tables.save(linked.groupBy("root").agg(F.min("first").alias("component")), "lowest")
+    moved = tables.save(linked.join(lowest, "root").where("component < first").select("class", "component"), "moved")
+    where = tables.save(classes.join(moved, "class", "left").select("class", F.coalesce("component", "first").alias("component")), "components")
+    tables.drop(linked, lowest, moved)
     out = made.select("doc_id", "text_key", "n", F.when(F.col("doc_id").isNotNull(), F.col("class")).alias("class")).join(where, "class", "left")
     component = F.coalesce("component", "doc_id")
     return out.select(*["text_key"] * with_key, "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
