@@ -5,15 +5,14 @@ distinct words are counted, joined with the corpus counts and sent back, so memo
 vocabulary.  The most frequent words have outputs of their own, in classes of equal size; every other word belongs to a
 class by its shape, and within that class its probability is its share of the training counts.
 
-Every training document is learned from: each partition trains a replica by truncated backpropagation from common
-weights, and replicas are averaged, weighted by their tokens.  Scoring carries the state across windows to the end of
-each document.
+Every training document is learned from: each chunk trains a replica by truncated backpropagation from common weights,
+and replicas are averaged, weighted by their tokens.  Chunks follow from the rows alone, and so do the scores, however the
+table is partitioned.  Scoring carries the state across windows to the end of each document.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import Words, blocks_for, saved, slices
+from loomgraph.llm.common import Tables, Words, blocks_for, slices
 
 HEADS, CLASSES, SHAPES, HIDDEN = 1024, 32, 16, 16
 EACH = HEADS // CLASSES
-#: Documents to a chunk, about; documents that a replica steps through side by side; steps between updates.
-CHUNK, LANES, WINDOW = 8192, 512, 16
+#: Bytes of text to a chunk, about; documents that a replica steps through side by side; steps between updates.
+CHUNK, LANES, WINDOW = 32 << 20, 512, 16
 ALPHA = 0.1
 START = HEADS + SHAPES
 END = b""  # the end mark; no word is empty
@@ -36,7 +35,9 @@ LN10 = math.log(10)
 def shape_of(word: bytes) -> int:
     """The class of a word without an output of its own, by its last mark, length and letters."""
     last = word[-1:] in b".,;:!?" and word != b""
-    return last + 2 * (len(word) > 8) + 4 * (max(word, default=0) > 127) + 8 * (not word.rstrip(b".,;:!?").isalpha() and max(word, default=0) < 128)
+    plain = word.isascii()
+    return last + 2 * (len(word) > 8) + 4 * (not plain) + 8 * (plain and not word.rstrip(b".,;:!?").isalpha())
+
 
 
 # --- the network -------------------------------------------------------------------------------------------------
@@ -78,29 +79,30 @@ class Network:
         return Network(*out)
 
 
-def run_window(net: Network, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
-    """States after each step (the first is `h`), and what each step needs to go back."""
+def run_window(net: Network, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """States after each step (the first is `h`), and what the steps need to go back: gates (update, reset), the recurrent
+    input of the candidate and the candidate."""
     size = h.shape[1]
-    states, caches = np.empty((len(x) + 1, *h.shape), dtype=np.float32), []
+    states, gates = np.empty((len(x) + 1, *h.shape), dtype=np.float32), np.empty((*x.shape, 2 * size), dtype=np.float32)
+    inner, candidates = np.empty((*x.shape, size), dtype=np.float32), np.empty((*x.shape, size), dtype=np.float32)
     states[0] = h
     puts = net.inputs[x]
     for t in range(len(x)):
-        put, own = puts[t], states[t] @ net.recur
-        gates = own[:, : 2 * size] + put[:, : 2 * size]
-        np.negative(gates, out=gates)
-        np.exp(gates, out=gates)
-        gates += 1
-        np.reciprocal(gates, out=gates)
-        z, r, a = gates[:, :size], gates[:, size:], own[:, 2 * size :]
-        n = r * a
+        put, own, gate, n = puts[t], states[t] @ net.recur, gates[t], candidates[t]
+        np.add(own[:, : 2 * size], put[:, : 2 * size], out=gate)
+        np.negative(gate, out=gate)
+        np.exp(gate, out=gate)
+        gate += 1
+        np.reciprocal(gate, out=gate)
+        inner[t] = own[:, 2 * size :]
+        np.multiply(gate[:, size:], inner[t], out=n)
         n += put[:, 2 * size :]
         np.tanh(n, out=n)
         into = states[t + 1]
         np.subtract(states[t], n, out=into)
-        into *= z
+        into *= gate[:, :size]
         into += n
-        caches.append((z, r, a, n))
-    return states, caches
+    return states, (gates, inner, candidates)
 
 
 def output_loss(net: Network, h: np.ndarray, y: np.ndarray, grads: Network | None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -115,11 +117,12 @@ def output_loss(net: Network, h: np.ndarray, y: np.ndarray, grads: Network | Non
     out = (np.minimum(chosen, TOP) - np.log(total)).astype(np.float64)
     back = None
     if grads is not None:
-        e *= (1 / total)[:, None]
-        e[at, kind] -= 1
-        grads.to_class += h.T @ e
-        grads.class_bias += ONES[: len(e)] @ e
+        part = 1 / total  # left out of e, whose rows are long, and put to what meets it
+        e[at, kind] -= total
+        grads.to_class += (h * part[:, None]).T @ e
+        grads.class_bias += part @ e
         back = e @ net.to_class.T
+        back *= part[:, None]
     order = np.argsort(kind.astype(np.uint8), kind="stable")
     ends = np.searchsorted(kind[order], np.arange(CLASSES + 1))
     order = order[: ends[CLASSES]]
@@ -135,11 +138,12 @@ def output_loss(net: Network, h: np.ndarray, y: np.ndarray, grads: Network | Non
         chosen[rows] = e[line, word]
         totals[rows] = total = _exponentials(e)
         if grads is not None:
-            e *= (1 / total)[:, None]
-            e[line, word] -= 1
-            grads.to_word[c] += own[rows].T @ e
-            grads.word_bias[c] += ONES[: len(e)] @ e
-            behind[rows] = e @ net.to_word[c].T
+            part = 1 / total
+            e[line, word] -= total
+            grads.to_word[c] += (own[rows] * part[:, None]).T @ e
+            grads.word_bias[c] += part @ e
+            np.matmul(e, net.to_word[c].T, out=behind[rows])
+            behind[rows] *= part[:, None]
     out[order] += np.minimum(chosen, TOP) - np.log(totals)
     if grads is not None:
         back[order] += behind
@@ -211,28 +215,33 @@ class Trainer:
         net, size = self.net, HIDDEN
         states, caches = run_window(net, x, h)
         grads = Network(np.empty(0), np.empty(0), *(np.zeros_like(p) for p in net.parts()[2:]))
-        _, back = output_loss(net, states[1:][inside], y[inside].astype(np.int64), grads)
-        from_out = np.zeros(states[1:].shape, dtype=np.float32)
-        from_out[inside] = back
-        into, own = np.empty((*x.shape, 3 * size), dtype=np.float32), np.empty((*x.shape, 3 * size), dtype=np.float32)
-        d = np.zeros_like(h)
+        if inside.all():
+            _, back = output_loss(net, states[1:].reshape(-1, size), y.ravel().astype(np.int64), grads)
+            from_out = back.reshape(states[1:].shape)
+        else:
+            _, back = output_loss(net, states[1:][inside], y[inside].astype(np.int64), grads)
+            from_out = np.zeros(states[1:].shape, dtype=np.float32)
+            from_out[inside] = back
+        # what a state's derivative d is multiplied by is known before it: of the gates and the candidate, for the recurrent
+        # weights (own) and, where it differs, for the inputs
+        gates, inner, n = caches
+        z, r = gates[:, :, :size], gates[:, :, size:]
+        own = np.empty((*x.shape, 3, size), dtype=np.float32)
+        for_candidate = (1 - z) * (1 - n * n)
+        np.subtract(states[:-1], n, out=own[:, :, 0])
+        own[:, :, 0] *= z * (1 - z)
+        np.multiply(for_candidate, r, out=own[:, :, 2])
+        np.multiply(own[:, :, 2], inner * (1 - r), out=own[:, :, 1])
+        back_recur, all_d, d = np.ascontiguousarray(net.recur.T), from_out, np.zeros_like(h)
         for t in range(len(x) - 1, -1, -1):
-            z, r, a, n = caches[t]
-            d += from_out[t]
-            dz, dr, dn, da = into[t, :, :size], into[t, :, size : 2 * size], into[t, :, 2 * size :], own[t, :, 2 * size :]
-            keep = d * z
-            np.subtract(d, keep, out=dn)  # d (1 - z)
-            np.subtract(states[t], n, out=dz)
-            dz *= keep
-            dz *= 1 - z
-            n *= n
-            dn *= 1 - n
-            np.multiply(dn, r, out=da)
-            np.multiply(da, a, out=dr)
-            dr *= 1 - r
-            own[t, :, : 2 * size] = into[t, :, : 2 * size]
-            d = own[t] @ net.recur.T
+            d += all_d[t]
+            all_d[t] = d
+            own[t] *= d[:, None, :]
+            keep = d * z[t]
+            d = own[t].reshape(len(d), 3 * size) @ back_recur
             d += keep
+        into = own.copy()
+        np.multiply(for_candidate, all_d, out=into[:, :, 2])
         scale = 1 / max(1, int(inside.sum()))
         grads.recur = states[:-1].reshape(-1, size).T @ own.reshape(-1, 3 * size)
         for k, g in enumerate((grads.recur, grads.to_class, grads.class_bias, grads.to_word, grads.word_bias), 1):
@@ -252,43 +261,35 @@ class Trainer:
 
 
 def encoded(docs: DataFrame, held_out: Column, chunks: int) -> DataFrame:
-    """Rows of two kinds, by chunk: a document (doc_id, held, ids: its words numbered within the chunk, compressed) or a
-    word of the chunk (token, local: its number, n: times in training documents, shape)."""
+    """Rows of two kinds, by chunk: a document (doc_id, key: a hash of its text, held, ids: its words numbered within the
+    chunk) or a word of the chunk (token, local: its number, n: times in training documents, shape)."""
     id_type = docs.schema["doc_id"].dataType
-    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")
-    dealt = docs.select("doc_id", "text", held_out.alias("held"), chunk.alias("chunk")).repartition(chunks, "chunk")
-
-    def run(batches):
-        words: dict[int, Words] = {}
-        counts: dict[int, np.ndarray] = {}
-        names = ["chunk", "doc_id", "held", "ids", "token", "local", "n", "shape"]
-        arrow_id = None
+    key = F.xxhash64("doc_id", "text")
+    dealt = docs.select("doc_id", "text", held_out.alias("held"), F.pmod(key, F.lit(chunks)).cast("int").alias("chunk"), key.alias("key")).repartitionById(chunks, "chunk")
+
+    def run(batches):  # of one chunk
+        words, seen, chunk, arrow_id = Words(), np.zeros(1024, dtype=np.int64), None, None
+        names = ["chunk", "doc_id", "key", "held", "ids", "token", "local", "n", "shape"]
         for batch in slices(batches, "text"):
-            arrow_id = batch.column(0).type
-            where, ids = batch.column(3).to_pylist(), []
-            held = batch.column(2).to_pylist()
-            for c, out, text in zip(where, held, batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                own = np.array(words.setdefault(c, Words()).of([*(text or b"").lower().split(), END]), dtype=np.int32)
-                ids.append(zlib.compress(own.tobytes(), 1))
-                seen = counts.get(c, np.zeros(1024, dtype=np.int64))
-                if len(words[c].ids) > len(seen):
-                    seen = np.concatenate((seen, np.zeros(max(len(seen), len(words[c].ids)), dtype=np.int64)))
-                if not out:
-                    np.add.at(seen, own, 1)
-                counts[c] = seen
+            arrow_id, chunk = batch.column(0).type, batch.column(3)[0].as_py()
+            own = [np.array(words.of([*(text or b"").lower().split(), END]), dtype=np.int32) for text in batch.column(1).cast(pa.binary()).to_pylist()]
+            counted = [x for x, out in zip(own, batch.column(2).to_pylist(), strict=True) if not out]
+            if len(words.ids) > len(seen):
+                seen = np.concatenate((seen, np.zeros(max(len(seen), len(words.ids)), dtype=np.int64)))
+            if counted:
+                seen += np.bincount(np.concatenate(counted), minlength=len(seen))
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(0), batch.column(2), pa.array(ids, type=pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], names=names)
-        for c, own in words.items():
-            tokens = list(own.ids)
-            for start in range(0, len(tokens), 50_000):
-                part = tokens[start : start + 50_000]
-                k = len(part)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(k, c, dtype=np.int32)), pa.nulls(k, arrow_id), pa.nulls(k, pa.bool_()), pa.nulls(k, pa.binary()), pa.array(part, type=pa.binary()), pa.array(np.arange(start, start + k, dtype=np.int32)), pa.array(counts[c][start : start + k]), pa.array([shape_of(w) for w in part], type=pa.int32())],
-                    names=names,
-                )
+            yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(0), batch.column(4), batch.column(2), pa.array([x.tobytes() for x in own], type=pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], names=names)
+        tokens = list(words.ids)
+        for start in range(0, len(tokens), 50_000):
+            part = tokens[start : start + 50_000]
+            k = len(part)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(k, chunk, dtype=np.int32)), pa.nulls(k, arrow_id), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), pa.nulls(k, pa.binary()), pa.array(part, type=pa.binary()), pa.array(np.arange(start, start + k, dtype=np.int32)), pa.array(seen[start : start + k]), pa.array([shape_of(w) for w in part], type=pa.int32())],
+                names=names,
+            )
 
-    return dealt.mapInArrow(run, f"chunk int, doc_id {id_type.simpleString()}, held boolean, ids binary, token binary, local int, n long, shape int")
+    return dealt.mapInArrow(run, f"chunk int, doc_id {id_type.simpleString()}, key long, held boolean, ids binary, token binary, local int, n long, shape int")
 
 
 @dataclass
@@ -309,82 +310,105 @@ class Counts:
         return np.log10((c + ALPHA) / (tokens + ALPHA * (distinct + 1))[shape])
 
 
-def sequences_of(table: DataFrame, words: DataFrame, counts: Counts, id_type: str) -> DataFrame:
-    """For each document: doc_id, held, n_tokens, n_known, base_score, tail_score (of words in their shapes) and seq (its
-    symbols, compressed); documents of a chunk meet the counts of the chunk's words."""
-
-    def meet(docs: pa.Table, own: pa.Table) -> pa.Table:
-        docs = docs.sort_by("doc_id")  # whatever the order in which rows arrive
-        n = own.num_rows
-        local, c, shape = (own.column(k).to_numpy() for k in ("local", "c", "shape"))
-        head = own.column("head").to_numpy()
-        base, tail, known, symbol = np.zeros(n), np.zeros(n), np.zeros(n, dtype=bool), np.zeros(n, dtype=np.uint16)
-        base[local] = counts.unigram(c)
-        tail[local] = np.where(head >= 0, 0.0, counts.in_shape(c, shape))
-        known[local] = c > 0
-        symbol[local] = np.where(head >= 0, head, HEADS + shape)
-        rows = {k: [] for k in ("n_tokens", "n_known", "base_score", "tail_score", "seq")}
-        for data in docs.column("ids").to_pylist():
-            ids = np.frombuffer(zlib.decompress(data), dtype=np.int32)
-            rows["n_tokens"].append(len(ids))
-            rows["n_known"].append(int(known[ids].sum()))
-            rows["base_score"].append(float(base[ids].sum()))
-            rows["tail_score"].append(float(tail[ids].sum()))
-            rows["seq"].append(zlib.compress(symbol[ids].tobytes(), 1))
-        out = pa.table({"doc_id": docs.column("doc_id"), "held": docs.column("held"), **rows})
-        # documents of like length side by side waste no lanes; the groups themselves come in no order of length
-        order = np.argsort(np.array(rows["n_tokens"]), kind="stable")
+def sequences_of(table: DataFrame, words: DataFrame, counts: Counts, id_type: str, chunks: int) -> DataFrame:
+    """A row for each chunk: chunk, and for its documents lists of doc_id, held, n_tokens, n_known, base_score and
+    tail_score (of words in their shapes), and symbols (of all, one after another).  The chunk's words, with their counts in
+    the corpus, come first; then its documents stream past them.
+
+    Documents of like length stand side by side, so that lanes go to waste little; groups of LANES are in no order."""
+    own = table.where("ids is not null").select("chunk", "key", "doc_id", "held", "ids", *(F.lit(None).cast(t).alias(c) for c, t in (("local", "int"), ("shape", "int"), ("c", "long"), ("head", "int"))))
+    first = words.select("chunk", *(F.lit(None).cast(t).alias(c) for c, t in (("key", "long"), ("doc_id", id_type), ("held", "boolean"), ("ids", "binary"))), "local", "shape", "c", "head")
+    lists = ("n_tokens", "n_known", "base_score", "tail_score")
+
+    def run(batches):  # of one chunk
+        parts: list[tuple[np.ndarray, ...]] = []
+        base = tail = known = symbol = chunk = None
+        ids_of, held, sequences, found = [], [], [], {k: [] for k in lists}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            chunk = batch.column(0)[0].as_py()
+            words_here = batch.slice(0, batch.column(1).null_count)
+            docs = batch.slice(words_here.num_rows)
+            if words_here.num_rows:
+                parts.append(tuple(words_here.column(k).to_numpy(zero_copy_only=False) for k in (5, 6, 7, 8)))
+            if not docs.num_rows:
+                continue
+            if base is None:
+                local, shape, c, head = (np.concatenate(p) for p in zip(*parts, strict=True))
+                local, shape, head = (v.astype(np.int64) for v in (local, shape, head))
+                base, tail, known, symbol = np.zeros(len(local)), np.zeros(len(local)), np.zeros(len(local), dtype=bool), np.zeros(len(local), dtype=np.uint16)
+                base[local] = counts.unigram(c)
+                tail[local] = np.where(head >= 0, 0.0, counts.in_shape(c, shape))
+                known[local] = c > 0
+                symbol[local] = np.where(head >= 0, head, HEADS + shape)
+            ids_of.append(docs.column(2))
+            held += docs.column(3).to_pylist()
+            for data in docs.column(4).to_pylist():
+                ids = np.frombuffer(data, dtype=np.int32)
+                found["n_tokens"].append(len(ids))
+                found["n_known"].append(int(known[ids].sum()))
+                found["base_score"].append(float(base[ids].sum()))
+                found["tail_score"].append(float(tail[ids].sum()))
+                sequences.append(symbol[ids])
+        if not sequences:
+            return
+        order = np.argsort(np.array(found["n_tokens"]), kind="stable")
         groups = [order[i : i + LANES] for i in range(0, len(order), LANES)]
-        turns = np.random.default_rng(len(order)).permutation(len(groups))
-        return out.take(pa.array(np.concatenate([groups[i] for i in turns])))
+        order = np.concatenate([groups[i] for i in np.random.default_rng(len(order)).permutation(len(groups))])
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(order)], type=pa.int32()), values.take(pa.array(order)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([chunk], type=pa.int32()), one(pa.concat_arrays(ids_of)), one(pa.array(held, type=pa.bool_())), *(one(pa.array(found[k])) for k in lists), pa.array([np.concatenate([sequences[i] for i in order]).tobytes()], type=pa.binary())],
+            names=["chunk", "doc_id", "held", *lists, "symbols"],
+        )
 
-    docs = table.where("ids is not null").select("chunk", "doc_id", "held", "ids")
-    schema = f"doc_id {id_type}, held boolean, n_tokens long, n_known long, base_score double, tail_score double, seq binary"
-    return docs.groupBy("chunk").cogroup(words.groupBy("block")).applyInArrow(meet, schema)
+    dealt = own.unionByName(first).repartitionById(chunks, "chunk").sortWithinPartitions("key")  # words, which have none, come first
+    return dealt.mapInArrow(run, f"chunk int, doc_id array<{id_type}>, held array<boolean>, n_tokens array<long>, n_known array<long>, base_score array<double>, tail_score array<double>, symbols binary")
 
 
-def _batches(batches, keep):
-    """Lists of at most LANES sequences, with the rows that they came from."""
-    for whole in batches:
-        for start in range(0, whole.num_rows, LANES):
-            batch = whole.slice(start, LANES)
-            batch = batch.filter(keep(batch)) if keep else batch
-            if batch.num_rows:
-                yield batch, [np.frombuffer(zlib.decompress(s), dtype=np.uint16) for s in batch.column("seq").to_pylist()]
+def groups_of(lengths: np.ndarray, symbols: bytes) -> list[list[np.ndarray]]:
+    """A chunk's sequences, LANES at a time."""
+    ends = np.cumsum(lengths)
+    flat = np.frombuffer(symbols, dtype=np.uint16)
+    return [[flat[ends[i] - lengths[i] : ends[i]] for i in range(at, min(at + LANES, len(lengths)))] for at in range(0, len(lengths), LANES)]
 
 
-def trained(sequences: DataFrame, net: Network, part: int = 1) -> Network:
-    """The average of replicas that start from `net` and learn from the training documents, or 1 in `part` of them by a
-    hash of the id.  Replicas are summed in groups of 64 until one row is left."""
-    spark = sequences.sparkSession
-    shared = spark.sparkContext.broadcast(net)
+def trained(chunks: DataFrame, net: Network, tables: Tables, part: int = 1) -> Network:
+    """The average of replicas that start from `net` and learn from the training documents of a chunk, or from 1 in `part`
+    of its groups.  Replicas are summed in groups of 64 until one row is left."""
+    shared = chunks.sparkSession.sparkContext.broadcast(net)
+    schema = "chunk int, weights binary, tokens double"
 
     def learn(batches):
         import copy
 
-        trainer = Trainer(copy.deepcopy(shared.value))
-        for _, own in _batches(batches, None):
-            trainer.learn(own)
-        if trainer.tokens:
-            weights = np.frombuffer(trainer.net.packed(), dtype=np.float32).astype(np.float64) * trainer.tokens
-            yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], type=pa.binary()), pa.array([float(trainer.tokens)])], names=["weights", "tokens"])
+        for batch in batches:
+            for row in range(batch.num_rows):
+                trainer = Trainer(copy.deepcopy(shared.value))
+                lengths, held = np.array(batch.column(1)[row].as_py()), np.array(batch.column(2)[row].as_py())
+                for k, group in enumerate(groups_of(lengths, batch.column(3)[row].as_py())):
+                    own = [x for x, out in zip(group, held[k * LANES :], strict=False) if not out]
+                    if own and k % part == 0:
+                        trainer.learn(own)
+                if trainer.tokens:
+                    weights = np.frombuffer(trainer.net.packed(), dtype=np.float32).astype(np.float64) * trainer.tokens
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), pa.array([weights.tobytes()], type=pa.binary()), pa.array([float(trainer.tokens)])], names=["chunk", "weights", "tokens"])
 
     def add(table: pa.Table) -> pa.Table:
+        table = table.sort_by("chunk")
         total = np.zeros(0)
         for data in table.column("weights").to_pylist():
             own = np.frombuffer(data, dtype=np.float64)
             total = own.copy() if not len(total) else total + own
-        return pa.table({"weights": pa.array([total.tobytes()], type=pa.binary()), "tokens": [float(np.sum(table.column("tokens").to_numpy()))]})
-
-    rows = sequences.where("not held")
-    if part > 1:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(part)) == 0)
-    found = saved(rows.select("seq").mapInArrow(learn, "weights binary, tokens double"), "replicas")
-    left = found.count()
-    while left > 1:
-        groups = blocks_for(left, 64)
-        found = saved(found.groupBy(F.pmod(F.xxhash64("tokens", "weights"), F.lit(groups)).alias("g")).applyInArrow(add, "weights binary, tokens double"), "replicas")
-        left = found.count() if groups > 1 else 1
+        return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py() // 64], type=pa.int32()), "weights": pa.array([total.tobytes()], type=pa.binary()), "tokens": [float(np.sum(table.column("tokens").to_numpy()))]})
+
+    found = tables.save(chunks.select("chunk", "n_tokens", "held", "symbols").mapInArrow(learn, schema), "replicas")
+    while (most := found.agg(F.max("chunk")).first()[0] or 0) > 0:
+        summed = tables.save(found.groupBy(F.floor(F.col("chunk") / 64).alias("g")).applyInArrow(add, schema), "replicas")
+        tables.drop(found)
+        found = summed
+        if most < 64:
+            break
     row = found.first()
     return net if row is None else net.unpacked(np.frombuffer(row["weights"], dtype=np.float64) / row["tokens"])
 
@@ -399,9 +423,11 @@ def score_documents(df: DataFrame, held_out: Column, *, id_col: str = "doc_id",
     """
     docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    table = saved(encoded(docs, held_out, blocks_for(docs.count(), chunk)), "encoded")
-    counted = saved(table.where("token is not null").groupBy("token", "shape").agg(F.sum("n").alias("c")), "counts").where("c > 0")
-    spark = df.sparkSession
+    spark, tables = df.sparkSession, Tables(df.sparkSession)
+    chunks = blocks_for(docs.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0, chunk)
+    table = tables.save(encoded(docs, held_out, chunks), "encoded")
+    counts_of = tables.save(table.where("token is not null").groupBy("token", "shape").agg(F.sum("n").alias("c")), "counts")
+    counted = counts_of.where("c > 0")
     top = counted.orderBy(F.desc("c"), "token").limit(HEADS).collect()  # a fixed number of words
     totals = counted.groupBy("shape").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
     shapes = np.zeros((SHAPES, 2))
@@ -414,20 +440,24 @@ def score_documents(df: DataFrame, held_out: Column, *, id_col: str = "doc_id",
     counts = Counts(tokens, distinct, shapes, heads)
     head = spark.createDataFrame([(bytes(r["token"]), i) for i, r in enumerate(top)], "token binary, head int")
     known = counted.join(F.broadcast(head), "token", "left").select("token", "c", "head")
-    words = table.where("token is not null").join(known, "token", "left").select(F.col("chunk").alias("block"), "local", "shape", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("head", F.lit(-1)).alias("head"))
-    sequences = saved(sequences_of(table, words, counts, id_type), "sequences")
+    words = table.where("token is not null").join(known, "token", "left").select("chunk", "local", "shape", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("head", F.lit(-1)).alias("head"))
+    sequences = tables.save(sequences_of(table, words, counts, id_type, chunks), "sequences")
+    tables.drop(table, counts_of)
     net = Network.start(np.array(heads + [0] * (HEADS - len(heads)), dtype=np.float64), shapes[:, 0])
     for part in (8, 1):  # a common start from an eighth, then all
-        net = trained(sequences, net, part)
+        net = trained(sequences, net, tables, part)
     shared = spark.sparkContext.broadcast(net)
 
     def score(batches):
-        for batch, own in _batches(batches, None):
-            found = log_probabilities(shared.value, own) / LN10 + batch.column("tail_score").to_numpy()
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("doc_id", "held", "n_tokens", "n_known")), pa.array(np.full(n, tokens, dtype=np.int64)), batch.column("base_score"), pa.array(found)],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
+        for batch in batches:
+            for row in range(batch.num_rows):
+                of = {c: batch.column(c)[row] for c in batch.schema.names}
+                groups = groups_of(of["n_tokens"].values.to_numpy(), of["symbols"].as_py())
+                found = np.concatenate([log_probabilities(shared.value, g) for g in groups]) / LN10 + of["tail_score"].values.to_numpy()
+                n = len(found)
+                yield pa.RecordBatch.from_arrays(
+                    [*(of[c].values for c in ("doc_id", "held", "n_tokens", "n_known")), pa.array(np.full(n, tokens, dtype=np.int64)), of["base_score"].values, pa.array(found)],
+                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                )
 
     return sequences.mapInArrow(score, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

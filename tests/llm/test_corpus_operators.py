@@ -162,7 +162,7 @@ def texts_for_scoring():
 
 def test_language_model_counts_match_brute_force(spark):
     rows = texts_for_scoring()
-    got = gru_lm.score_documents(table(spark, rows), remainder(F.col("doc_id"), 10) == 0, chunk=64).collect()
+    got = gru_lm.score_documents(table(spark, rows), remainder(F.col("doc_id"), 10) == 0, chunk=8000).collect()
     tokens = [(i, [*words_of(t), ""]) for i, t in rows]
     held = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 10 == 0
     counts = collections.Counter(w for i, ws in tokens if not held(i) for w in ws)
@@ -179,6 +179,20 @@ def test_language_model_without_training_rows(spark):
     assert gru_lm.score_documents(table(spark, []), F.lit(False)).count() == 0
 
 
+def test_language_model_beats_base_and_ignores_partitions(spark):
+    """Texts in which each word tells the next; scores are the same for 1, 4 and 32 partitions."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(30)]
+    rows = [(i, " ".join(words[(at + k) % 30] for k in range(rng.randint(20, 90)))) for i in range(600) for at in (rng.randrange(30),)]
+    df = table(spark, rows)
+    score = lambda d: {r.doc_id: (r.score, r.base_score, r.held_out) for r in gru_lm.score_documents(d, remainder(F.col("doc_id"), 10) == 0, chunk=60_000).collect()}
+    got = score(df.repartition(4))
+    held = [v for v in got.values() if v[2]]
+    assert held and sum(v[0] for v in held) > 0.95 * sum(v[1] for v in held) and len(got) == 600
+    for n in (1, 32):
+        assert score(df.repartition(n)) == got
+
+
 def test_network_learns_order_and_is_a_distribution():
     rng = np.random.default_rng(1)
     sequences = [np.tile(np.array([3, 40, 90], dtype=np.uint16), rng.integers(3, 30)) for _ in range(300)]
