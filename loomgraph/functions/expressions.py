@@ -312,18 +312,47 @@ def mint_encoding(x, depth: int | None = None) -> Column:
     none = F.lit("")
     lit = F.concat(F.lit(",literal,"), *(F.concat(sized(F.coalesce(s[f], none)), F.lit("" if f == "dir" else ",")) for f in ("v", "dt", "lang", "dir")))
     out = F.when(s["k"] == T.IRI, F.concat(F.lit(",iri,"), sized(s["v"]))).when(s["k"] == LITERAL, lit).when(s["k"] == T.BLANK, F.concat(F.lit(",bnode,"), sized(s["v"])))
-    if T.TRIPLE in kinds(x) and (depth is None or depth > 0):
-        parts = [Dyn(T.part(F.when(s["k"] == T.TRIPLE, s["v"]), i), T.ANY - {T.TRIPLE} if i < 2 or (depth or 2) == 1 else T.ANY) for i in range(3)]
-        below = 1 if depth is None else depth - 1
-        inner = [mint_encoding(p, below) for p in parts]
-        out = out.when(s["k"] == T.TRIPLE, F.concat(F.lit(",triple"), *inner))
+    if T.TRIPLE in kinds(x):
+        out = out.when(s["k"] == T.TRIPLE, F.concat(F.lit(",triple"), _inner_encoding(s["v"], depth)))
     return F.when(s.isNull(), unbound).otherwise(out)
 
 
+def _inner_encoding(text: Column, depth: int | None) -> Column:
+    """Of a stored triple term's text: what its three parts contribute, however deep they nest; NULL beyond `depth`.
+
+    One walk over the text, a field at a step.  A part is its kind and four fields with their lengths; the first field of
+    a triple term is the text of its parts, so the walk just goes on within it, and the three empty fields after it are
+    met where a kind should stand."""
+    if depth == 0:
+        return F.lit(None).cast("string")
+    tags = F.create_map(*(F.lit(x) for k, tag in ((T.IRI, ",iri"), (T.BLANK, ",bnode"), (LITERAL, ",literal"), (T.TRIPLE, ",triple")) for x in (str(k), tag)))
+
+    def step(acc: Column, _: Column) -> Column:
+        at, field = acc["at"], acc["field"]
+        mark, over, kind = F.substr(text, at, F.lit(1)), at > F.length(text), field == 0
+        closing, opening = kind & (mark == ":"), kind & (mark == str(T.TRIPLE))
+        digits = F.regexp_extract(F.substr(text, at + F.when(kind, 1).otherwise(0), F.lit(12)), r"^(\d*):", 1)
+        size = F.coalesce(digits.try_cast("int"), F.lit(0))
+        value = F.substr(text, at + F.length(digits) + 1, size)
+        shown = F.concat(acc["out"], F.lit(","), F.length(value).cast("string"), F.lit(":"), value)
+        return F.struct(
+            F.when(over, at).when(closing | kind & ~opening, at + 1).when(opening, at + F.length(digits) + 2).otherwise(at + F.length(digits) + 1 + size).alias("at"),
+            F.when(kind, F.when(closing | opening, 0).otherwise(1)).otherwise((field + 1) % 5).alias("field"),
+            F.when(kind, mark).otherwise(acc["kind"]).alias("kind"),
+            F.when(over | closing, acc["out"]).when(kind, F.concat(acc["out"], F.element_at(tags, mark))).when((field == 1) | (acc["kind"] == str(LITERAL)), shown).otherwise(acc["out"]).alias("out"),
+            (acc["ends"] + F.when(closing, 1).when(opening, -3).otherwise(0)).alias("ends"),
+            F.greatest(acc["deepest"], F.when(opening, 1 - F.floor((acc["ends"] - 3) / 3)).otherwise(0).cast("int")).alias("deepest"),
+        )
+
+    start = F.struct(F.lit(1).alias("at"), F.lit(0).alias("field"), F.lit("").alias("kind"), F.lit("").alias("out"), F.lit(0).alias("ends"), F.lit(1).alias("deepest"))
+    done = lambda acc: acc["out"] if depth is None else F.when(acc["deepest"] <= depth, acc["out"])
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), start, step, done)
+
+
 def minted(args: list, ctx: Context):
     if not args:
         return Node(T.BLANK, ("n", T.Key(F.uuid(), "string")))
-    whole = F.concat(*(mint_encoding(x, ctx.argument_depth if ctx.argument_depth is not None else None) for x in args))
+    whole = F.concat(*(mint_encoding(x, ctx.argument_depth) for x in args))
     if ctx.mint == "iri":
         return Node(T.IRI, (ctx.mint_name, T.Key(F.sha1(whole.cast("binary")), "string")))
     if ctx.mint == "literal":

@@ -17,7 +17,7 @@ from loomgraph.functions.expressions import Context, condition, truth, value
 from loomgraph.operators.aggregate import aggregated
 from loomgraph.operators.closure import closure
 from loomgraph.operators.relation import (
-    UNIT, Branch, Relation, copied, distinct, fresh, join, left_join, left_join_by_rows, merged, minus, order_keys, relation, semi_parts, split, union, with_values,
+    UNIT, Branch, Relation, copied, distinct, flagged, fresh, join, left_join, left_join_by_rows, merged, minus, order_keys, relation, semi_parts, split, union, with_values,
 )
 from loomgraph.plans import algebra as A
 from loomgraph.plans.parser import SparqlError, opened
@@ -27,6 +27,10 @@ from loomgraph.sources.graphs import Catalog, Graph
 from loomgraph.terms import ANY, Const, Dyn, Term, Tri, bound, kinds, refs, same, struct
 
 
+#: Rows written in a query that are sent to every task.
+INLINE = 10_000
+
+
 @dataclass
 class Options:
     """How expressions and views are read."""
@@ -175,8 +179,12 @@ class Compiler:
             name = fresh(".x")
             out = []
             for b in rel.branches:
-                for flag, parts in zip((True, False), self.exists_parts(b, x.pattern), strict=True):
-                    out += [with_values(p, {name: truth(flag != x.negated)}, self.spark, (name,)) for p in parts]
+                for part, flag in self.exists_flags(b, x.pattern):
+                    if isinstance(flag, bool):
+                        flag = flag != x.negated
+                    elif x.negated:
+                        flag = ~flag
+                    out.append(with_values(part, {name: truth(flag)}, self.spark, (name,)))
             rel = relation(out, rel.scope | {name})
             e = _replaced(e, x, A.Var(name))
         return rel, e
@@ -226,6 +234,18 @@ class Compiler:
             no += b
         return yes, no
 
+    def exists_flags(self, branch: Branch, pattern) -> list[tuple[Branch, Column | bool]]:
+        """The branch's solutions, and whether the pattern has a solution for each: one existence join, no second copy."""
+        if _plain(pattern):
+            return flagged(branch, self.nested(None).compile(pattern), self.spark)
+        out = []
+        names = A.variables(pattern) & set(branch.vars)
+        for part in split(branch, names, self.spark):
+            used = names & set(part.vars)
+            outer = distinct(relation([copied(part.only(used), self.spark)], used), self.spark)
+            out += flagged(part, self.nested(outer).compile(pattern), self.spark, shared=used)
+        return out
+
     def nested(self, seed: Relation | None) -> Compiler:
         out = Compiler.__new__(Compiler)
         out.__dict__.update(self.__dict__)
@@ -305,6 +325,8 @@ class Compiler:
                     columns.append([(t.k, t.v, t.dt, t.lang, t.dir) for t in terms])
                     types.append(f"`{name}` {T.TERM}")
             df = self.spark.createDataFrame([tuple(r) for r in zip(*columns, strict=True)], ", ".join(types))
+            if len(own) <= INLINE:
+                df = F.broadcast(df)
             out.append(Branch(shapes, frozenset(names), df))
         return self.seeded(relation(out, node.vars))
 

@@ -47,12 +47,19 @@ class Scan:
     table: Table
     alias: str
     tests: tuple[tuple[Callable, tuple], ...] = ()
+    #: Gives an array of (p, o) terms, from what names a column; each row stands once for each of them, under the columns
+    #: ~p and ~o.
+    spread: Callable[[Callable[[str], str]], Column] | None = None
 
     def ref(self, column: str) -> str:
         return f"{self.alias}__{column}"
 
     def frame(self) -> DataFrame:
         out = self.table.df.select(*(F.col(f"`{c}`").alias(self.ref(c)) for c in self.table.df.columns))
+        if self.spread:
+            pair = self.ref("~")
+            out = out.withColumn(pair, F.explode(self.spread(self.ref)))
+            out = out.withColumns({self.ref("~p"): F.col(pair)["p"], self.ref("~o"): F.col(pair)["o"]}).drop(pair)
         for make, shapes in self.tests:
             out = out.where(make(*shapes))
         return out
@@ -234,6 +241,8 @@ def _fused(a: Branch, b: Branch) -> Branch | None:
     """Two scans of one table that agree on its unique key, as one scan."""
     if not (a.scan and b.scan and a.scan.table.name == b.scan.table.name and a.scan.table.unique and a.scan.table.key):
         return None
+    if a.scan.spread and b.scan.spread:
+        return None
     rename = b.scan.renamed(a.scan.alias)
     key = {a.scan.ref(c) for c in a.scan.table.key}
     shared = set(a.vars) & set(b.vars)
@@ -241,7 +250,7 @@ def _fused(a: Branch, b: Branch) -> Branch | None:
         return None
     moved = tuple((make, tuple(with_refs(x, rename) for x in shapes)) for make, shapes in b.scan.tests)
     known = [(make, shapes) for make, shapes in a.scan.tests]
-    out = Branch({**{v: with_refs(x, rename) for v, x in b.vars.items()}, **a.vars}, a.certain | b.certain, None, replace(a.scan, tests=(*known, *moved)))
+    out = Branch({**{v: with_refs(x, rename) for v, x in b.vars.items()}, **a.vars}, a.certain | b.certain, None, replace(a.scan, tests=(*known, *moved), spread=a.scan.spread or b.scan.spread))
     for v in shared:
         other = with_refs(b.vars[v], rename)
         if other != a.vars[v]:
@@ -332,6 +341,33 @@ def semi_parts(left: Branch, right: Relation, spark: SparkSession, shared: Itera
     return matched, missed
 
 
+def flagged(left: Branch, right: Relation, spark: SparkSession, shared: Iterable[str] | None = None) -> list[tuple[Branch, Column | bool]]:
+    """The branch's solutions, by which shared variables they bind, and whether each has a compatible one in `right`."""
+    shared = set(left.vars) & right.scope if shared is None else set(shared)
+    others = [p.only(shared) for b in right.branches for p in split(b, shared, spark)]
+    if len(others) > 4:
+        others = _by_bound(others, shared, shared, spark)
+    out = []
+    for part in split(left, shared, spark):
+        outer = replace(part, vars={v: with_refs(x, lambda r: col(r).outer()) for v, x in part.vars.items()})
+        flags: list[Column] = []
+        sure = False
+        for other in others:
+            if other.unit:
+                tests = _tests(part, other)
+                sure = sure or tests is True
+                if isinstance(tests, Column):
+                    flags.append(F.coalesce(tests, F.lit(False)))
+                continue
+            tests = _tests(outer, other)
+            if tests is not False:
+                two = other.frame(spark)
+                flags.append((two if tests is True else two.where(tests)).exists())
+        flag = True if sure else reduce(Column.__or__, flags) if flags else False
+        out.append((part, flag))
+    return out
+
+
 def minus(left: Relation, right: Relation, spark: SparkSession) -> Relation:
     if not left.scope & right.scope:
         return left

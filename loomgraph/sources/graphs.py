@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph import terms as T
@@ -94,17 +94,22 @@ class TableGraph(Graph):
     def triples(self, predicate: Term | None = None) -> Iterator[tuple[Branch, tuple]]:
         table = Table(self.name, self.df, self.key, self.unique)
         types = table.types
+
+        def object_of(p: Property, scan: Scan):
+            if p.constant is not None:
+                return T.shape_of(p.constant)
+            if p.template is not None:
+                return self._template(p.template, scan, types)
+            return Lit(scan.ref(p.column), p.datatype or DATATYPES[types[p.column]])
+
+        if predicate is None and len(self.properties) > 1:
+            yield self._spread(table, types, object_of)
+            return
         for p in self.properties:
             if predicate is not None and p.predicate != predicate:
                 continue
             scan = Scan(table, fresh("t"))
-            s = self._template(self.subject, scan, types)
-            if p.constant is not None:
-                o = T.shape_of(p.constant)
-            elif p.template is not None:
-                o = self._template(p.template, scan, types)
-            else:
-                o = Lit(scan.ref(p.column), p.datatype or DATATYPES[types[p.column]])
+            s, o = self._template(self.subject, scan, types), object_of(p, scan)
             branch = Branch({}, frozenset(), None, scan)
             branch = branch.where(lambda *xs: reduce(lambda a, b: a & b, map(T.bound, xs)), s, o)
             if not self.unique:
@@ -112,10 +117,32 @@ class TableGraph(Graph):
                 branch = Branch({}, frozenset(), branch.frame(self.df.sparkSession).select(*(f"`{c}`" for c in columns)).distinct())
             yield branch, (s, Const(p.predicate), o)
 
+    def _spread(self, table: Table, types: dict[str, str], object_of: Callable) -> tuple[Branch, tuple]:
+        """All properties in one scan: a row stands once for each that it has."""
+
+        def pairs(ref: Callable[[str], str]) -> Column:
+            scan = Scan(table, ref("")[:-2])
+            made = []
+            for p in self.properties:
+                o = object_of(p, scan)
+                pair = F.struct(T.struct(Const(p.predicate)).cast(T.TERM).alias("p"), T.struct(o).cast(T.TERM).alias("o"))
+                made.append(F.when(T.bound(o), pair) if T.refs(o) else pair)
+            return F.array_compact(F.array(*made))
+
+        scan = Scan(table, fresh("t"), spread=pairs)
+        s = self._template(self.subject, scan, types)
+        found = frozenset().union(*(T.kinds(object_of(p, scan)) for p in self.properties))
+        p, o = Dyn(scan.ref("~p"), frozenset((T.IRI,))), Dyn(scan.ref("~o"), found)
+        branch = Branch({}, frozenset(), None, scan).where(T.bound, s)
+        if not self.unique:
+            branch = Branch({}, frozenset(), branch.frame(self.df.sparkSession).select(*(f"`{c}`" for c in (*T.refs(s), p.ref, o.ref))).distinct())
+        return branch, (s, p, o)
+
 
 @dataclass(frozen=True)
 class UnionGraph(Graph):
-    """Several graphs that have no triple in common."""
+    """Several graphs.  They must have no triple in common, which isn't checked: where they may, merge them with
+    `distinct_union`."""
 
     parts: tuple[Graph, ...]
 
@@ -124,6 +151,11 @@ class UnionGraph(Graph):
             yield from g.triples(predicate)
 
 
+def distinct_union(spark: SparkSession, *graphs: Graph) -> Triples:
+    """The merge of graphs that may share triples, each of which counts once."""
+    return Triples(reduce(DataFrame.union, (g.frame(spark) for g in graphs)).distinct())
+
+
 @dataclass
 class Catalog:
     """The graphs that a query can name: the default one, named ones, and the services that SERVICE reaches."""
@@ -139,6 +171,4 @@ class Catalog:
             raise KeyError(f"no graph is named {missing[0]}")
         if len(names) == 1:
             return self.named[names[0]]
-        graphs = [self.named[n] for n in names]
-        spark = SparkSession.getActiveSession()
-        return Triples(reduce(DataFrame.union, (g.frame(spark) for g in graphs)).distinct())
+        return distinct_union(SparkSession.getActiveSession(), *(self.named[n] for n in names))
