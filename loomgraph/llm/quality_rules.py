@@ -63,12 +63,12 @@ def line_fails(line: bytes, rules: LineRules) -> str | None:
 
 
 def clean_lines(text: bytes, rules: LineRules) -> tuple[bytes, int, int]:
-    """The text without its failing lines, how many failed, and the bytes of words in them."""
+    """The text without its failing lines, how many failed, and the characters of words in them."""
     kept, failed, lost = [], 0, 0
     for line in text.split(b"\n"):
         if line_fails(line, rules):
             failed += 1
-            lost += len(b"".join(line.split()))
+            lost += len(b"".join(line.split()).decode("utf-8", "replace"))
         else:
             kept.append(line)
     return (b"\n".join(kept) if failed else text), failed, lost
@@ -121,23 +121,20 @@ def assess(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rul
             n = len(raw)
             figures = {k: np.zeros(n, dtype=np.int64) for k in names}
             cleaned: list[bytes | None] = []
-            lost_bytes = np.zeros(n, dtype=np.int64)
-            word_bytes = np.zeros(n, dtype=np.int64)
             for k, text in enumerate(x or b"" for x in raw):
                 own = text.split()
                 groups.append(words.of(own))
-                word_bytes[k] = size = len(b"".join(own))
+                size = len(b"".join(own))
                 figures["n_words"][k] = len(own)
                 figures["word_chars"][k] = chars[k] - (len(text) - size)
                 figures["n_symbols"][k] = len(text) - len(text.translate(None, SYMBOLS))
                 lines = [x for x in text.split(b"\n") if x.strip()]
                 figures["n_dup_lines"][k] = len(lines) - len(set(lines))
-                left, figures["n_failed_lines"][k], lost_bytes[k] = clean_lines(text, rules)
+                left, figures["n_failed_lines"][k], figures["lost_chars"][k] = clean_lines(text, rules)
                 cleaned.append(None if raw[k] is None else left)
             figures["n_repeat_words"] = repeated_words(groups, words.hashes())
-            figures["lost_chars"] = lost_bytes
             failed = (figures["n_words"] < 20) | (100 * figures["n_repeat_words"] > 30 * figures["n_words"])
-            kept = ~failed & (lost_bytes <= rules.lost_share * word_bytes)
+            kept = ~failed & (figures["lost_chars"] <= rules.lost_share * figures["word_chars"])
             columns = [batch.column(0), *(pa.array(figures[k], type=pa.int64()) for k in names), pa.array(failed), pa.array(kept)]
             if with_text:
                 columns.append(pa.array(cleaned, type=pa.binary()).cast(pa.string()))
@@ -158,13 +155,14 @@ def clean(df: DataFrame, *, text_col: str = "text", rules: LineRules = LineRules
     def run(batches):
         for batch in slices(batches, text_col):
             raw = [x or b"" for x in batch.column(at).cast(pa.binary()).to_pylist()]
+            chars = pc.fill_null(pc.utf8_length(batch.column(at)), 0).to_pylist()
             words, groups, cleaned, fits = Words(), [], [], []
-            for text in raw:
+            for text, size in zip(raw, chars, strict=True):
                 own = text.split()
                 groups.append(words.of(own))
                 left, _, lost = clean_lines(text, rules)
                 cleaned.append(left)
-                fits.append(len(own) >= 20 and lost <= rules.lost_share * len(b"".join(own)))
+                fits.append(len(own) >= 20 and lost <= rules.lost_share * (size - len(text) + len(b"".join(own))))
             repeats = repeated_words(groups, words.hashes())
             keep = [ok and 100 * int(r) <= 30 * len(g) for ok, r, g in zip(fits, repeats, groups, strict=True)]
             columns = list(batch.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, factorization, gru_lm, licenses, near_dedup, packing, projected_knn, quality_rules, rule_ensemble, secrets
+from loomgraph.llm import bpe, factorization, gru_lm, licenses, near_dedup, oracle, packing, projected_knn, quality_rules, rule_ensemble, secrets
 from loomgraph.llm.common import read_table, remainder
 
 
@@ -63,15 +63,36 @@ def op10_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (left == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def base_op3_gru_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3 that SQL can express."""
+    out = op3_gru_scoring(spark, sf_dir)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 5).alias("base_score"))
+
+
+def base_op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op5 that don't depend on the weights of templates' words."""
+    return op5_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def base_op9_projected_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9 with scores rounded, for sums taken in another order."""
+    return op9_projected_knn(spark, sf_dir).withColumn("score", F.round("score", 9))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_quality_rules, op2_secret_scan, op3_gru_scoring, op4_minhash_near_dedup, op5_license_scan, op6_best_fit_packing,
             op7_byte_bpe, op8_rule_ensemble, op9_projected_knn, op10_factorization_machine,
+            base_op3_gru_scoring, base_op5_license_scan, base_op9_projected_knn,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """What SQL can't express: the models of op3, op8 and op10, op5's weights, op6's step-by-step packing and op7's ids."""
+    return {
+        "op1_quality_rules": oracle.quality_rules_sql(), "op2_secret_scan": oracle.secret_scan_sql(), "op4_minhash_near_dedup": oracle.near_dedup_sql(85),
+        "base_op3_gru_scoring": oracle.language_model_base_sql(), "base_op5_license_scan": oracle.license_base_sql(), "base_op9_projected_knn": oracle.nearest_sql(),
+    }
