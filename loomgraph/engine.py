@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph import terms as T
+from loomgraph.operators.closure import cut
 from loomgraph.operators.compiler import Compiler, Options
 from loomgraph.operators.relation import Branch, Relation, fresh, merged
 from loomgraph.plans import algebra as A
@@ -28,20 +29,21 @@ class Engine:
     `source` is a graph or a catalog of graphs.  `dedup` counts a view's triples once each; `generalized` lets any term
     stand in any position of triple terms; `mint` says what constructed nodes become ("literal", "iri" or, by default, blank
     nodes) and `mint_name` the datatype or IRI prefix that they get.  `functions` maps IRIs to functions over term-struct
-    columns.  `rewrites` are applied to a query's pattern before it is compiled.
+    columns, and `ranges` says which kinds of terms such a function may give, where that is not any.  `rewrites` are applied to a query's pattern before it is compiled.
     """
 
     def __init__(
         self, spark: SparkSession, source: Graph | Catalog, view: View | None = None, *, dedup: bool = False, generalized: bool = False, mint: str | None = None,
         mint_name: str = "urn:loomgraph:node", argument_depth: int | None = None, functions: dict[str, Callable[..., Column]] | None = None, rewrites: Iterable[Callable] = (),
+        ranges: dict[str, Iterable[int]] | None = None,
     ) -> None:
-        if argument_depth is not None and (not isinstance(argument_depth, int) or argument_depth < 0):
+        if argument_depth is not None and (not isinstance(argument_depth, int) or isinstance(argument_depth, bool) or argument_depth < 0):
             raise ValueError("argument_depth must be a non-negative integer")
         if mint not in (None, "literal", "iri"):
             raise ValueError("mint must be literal or iri")
         self.spark, self.view, self.rewrites = spark, view, tuple(rewrites)
         self.catalog = source if isinstance(source, Catalog) else Catalog(source)
-        self.options = Options(dedup, mint, mint_name, generalized, functions or {}, {}, argument_depth)
+        self.options = Options(dedup, mint, mint_name, generalized, functions or {}, {f: frozenset(k) for f, k in (ranges or {}).items()}, argument_depth)
 
     # --- planning
 
@@ -52,6 +54,15 @@ class Engine:
             check_user_query(query.pattern)
         return replace(query, pattern=reduce(lambda q, f: f(q), self.rewrites, query.pattern))
 
+    def rewrite(self, text: str) -> str:
+        """The query over the source that has the solutions which `text` has over the view, as SPARQL text.  Constructed
+        nodes stay calls of the built-in function.  Nothing is run."""
+        from loomgraph.plans.spell import spelled
+        from loomgraph.plans.unfold import unfolded
+
+        query = self.plan(text)
+        return spelled(unfolded(query, self.view, self.options.dedup, self.options.generalized) if self.view else query)
+
     def compile(self, node, catalog: Catalog | None = None) -> Relation:
         return Compiler(self.spark, catalog or self.catalog, self.options, self.view).compile(node)
 
@@ -59,7 +70,8 @@ class Engine:
 
     def sparql(self, text: str, out: str = "native") -> DataFrame:
         """SELECT: a column for each variable, in the order of the projection.  ASK: one boolean column, `result`.
-        CONSTRUCT and DESCRIBE: columns s, p, o, without repeats.  Nothing is run yet."""
+        CONSTRUCT and DESCRIBE: columns s, p, o, without repeats.  Nothing is run yet, but for `+` and `*` paths in a view's
+        body or over the source, whose rounds are run while the query is compiled."""
         if out not in OUTPUTS:
             raise ValueError(f"out must be one of {', '.join(OUTPUTS)}")
         query = self.plan(text)
@@ -147,30 +159,72 @@ class Engine:
 
     def update(self, text: str) -> Catalog:
         """The catalog after the update; steps apply one after the other, and the source's frames themselves are not touched.
-        Only WHERE reads the view."""
+        Only WHERE reads the view.  What a step leaves is saved before the next one reads it."""
         catalog = self.catalog
-        for step in parse_update(text).steps:
+        for number, step in enumerate(parse_update(text).steps):
+            if number and isinstance(catalog.default, Triples) and catalog.default is not self.catalog.default:
+                catalog = replace(catalog, default=replace(catalog.default, df=cut(catalog.default.df)))
             catalog = self._step(step, catalog)
         return catalog
 
     def _step(self, step, catalog: Catalog) -> Catalog:
         if isinstance(step, A.Admin):
             return self._admin(step, catalog)
-        rel = Relation((Branch(),), frozenset())
+        rel, into = Relation((Branch(),), frozenset()), "DEFAULT"
         if isinstance(step, A.Modify):
             if self.view:
                 check_user_query(step.where)
-            rel = self.compile(step.where, catalog)
-        frame = catalog.default.frame(self.spark)
-        if step.delete:
-            gone = self._instances(step.delete, rel).select(*(F.col(c).alias(f"d{c}") for c in "spo"))
-            frame = frame.join(gone, reduce(Column.__and__, (F.col(c) == F.col(f"d{c}") for c in "spo")), "left_anti")
-        if step.insert:
-            frame = frame.union(self._instances(step.insert, rel)).distinct()
-        return replace(catalog, default=Triples(frame, self.options.generalized))
+            into = step.into or "DEFAULT"
+            default = catalog.default if into == "DEFAULT" else catalog.named.get(into) or self._nothing()
+            if step.using or step.using_named:
+                default = catalog.dataset(step.using) if step.using else self._nothing()
+            named = {n: catalog.named[n] for n in step.using_named} if step.using or step.using_named else catalog.named
+            rel = self.compile(step.where, Catalog(default, named, catalog.services))
+        out = replace(catalog, named=dict(catalog.named))
+        for put, quads in ((False, step.delete), (True, step.insert)):
+            for name, triples in self._by_graph(quads, rel, into).items():
+                old = out.default if name == "DEFAULT" else out.named.get(name)
+                if old is None:
+                    if not put:
+                        continue
+                    old = self._nothing()
+                frame = old.frame(self.spark)
+                if put:
+                    frame = frame.union(triples).distinct()
+                else:
+                    gone = triples.select(*(F.col(c).alias(f"d{c}") for c in "spo"))
+                    frame = frame.join(gone, reduce(Column.__and__, (F.col(c) == F.col(f"d{c}") for c in "spo")), "left_anti")
+                new = Triples(frame, self.options.generalized)
+                if name == "DEFAULT":
+                    out.default = new
+                else:
+                    out.named[name] = new
+        return out
+
+    def _nothing(self) -> Triples:
+        return Triples(self.spark.createDataFrame([], SCHEMA))
+
+    def _by_graph(self, quads: tuple, rel: Relation, into: str) -> dict[str, DataFrame]:
+        """Template triples of each solution, by the graph that they belong to.  The graphs that a variable names are found
+        by a query of their own: they are as few as a catalog's graphs."""
+        parts: dict[object, list[A.Triple]] = {}
+        for q in quads:
+            graph, t = (q.graph, q.triple) if isinstance(q, A.Quad) else (T.iri(into) if into != "DEFAULT" else None, q)
+            parts.setdefault(graph, []).append(t)
+        out: dict[str, list[DataFrame]] = {}
+        for graph, template in parts.items():
+            if not isinstance(graph, A.Var):
+                out.setdefault("DEFAULT" if graph is None else graph.v, []).append(self._instances(tuple(template), rel))
+                continue
+            at = [b for b in rel.branches if graph.name in b.vars]
+            names = [b.frame(self.spark).select(struct(b.vars[graph.name]).cast(T.TERM).alias("g")).where(F.col("g")["k"] == T.IRI).select(F.col("g")["v"].alias("v")) for b in at]
+            for row in reduce(DataFrame.union, names).distinct().collect() if names else ():
+                own = [b.where(T.same, b.vars[graph.name], T.shape_of(T.iri(row["v"])), spark=self.spark) for b in at]
+                out.setdefault(row["v"], []).append(self._instances(tuple(template), Relation(tuple(b for b in own if b), rel.scope)))
+        return {name: reduce(DataFrame.union, frames) for name, frames in out.items()}
 
     def _admin(self, step: A.Admin, catalog: Catalog) -> Catalog:
-        empty = lambda: Triples(self.spark.createDataFrame([], SCHEMA))
+        empty = self._nothing
         named = dict(catalog.named)
 
         def graph(name: str) -> Graph:

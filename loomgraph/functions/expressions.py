@@ -34,6 +34,11 @@ class Context:
     base: str = ""
     functions: dict[str, Callable[..., Column]] = field(default_factory=dict)  # IRI -> over term structs
     argument_depth: int | None = None
+    ranges: dict[str, frozenset[int]] = field(default_factory=dict)  # IRI -> kinds that the function may give
+
+
+#: The variable that tells solutions apart, for BNODE with an argument.
+SOLUTION = ".solution"
 
 
 def truth(c) -> Lit | Const:
@@ -452,7 +457,7 @@ def value(e, ctx: Context):
         return minted(args, ctx)
     if name in ctx.functions:
         given = [struct(x) if x is not None else F.lit(None).cast(T.TERM) for x in args]
-        return Dyn(ctx.functions[name](*given), T.ANY)
+        return Dyn(ctx.functions[name](*given), ctx.ranges.get(name, T.ANY))
     if any(x is None for x in args):
         return None
     if name.startswith(T.XSD) and len(args) == 1:
@@ -667,8 +672,9 @@ def _fresh(name: str, args: list, ctx: Context):
         return text(F.uuid())
     if name == "UUID":
         return Node(T.IRI, ("urn:uuid:", T.Key(F.uuid(), "string")))
-    if args:
-        return Node(T.BLANK, ("l", T.Key(F.concat(F.uuid(), F.sha1(lexical(args[0]).cast("binary"))), "string")))
+    if args:  # the same node for equal arguments within a solution
+        own = col(ctx.vars[SOLUTION].ref) if SOLUTION in ctx.vars else F.uuid()
+        return Node(T.BLANK, ("l", T.Key(F.concat(own, F.sha1(lexical(args[0]).cast("binary"))), "string")))
     return Node(T.BLANK, ("u", T.Key(F.uuid(), "string")))
 
 

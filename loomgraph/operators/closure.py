@@ -25,8 +25,12 @@ def closure(c: Compiler, p: A.PathPattern) -> Relation:
     one = merged(steps, c.spark)
     edges = cut(one.frame(c.spark).select(struct(one.vars[a.name]).cast(T.TERM).alias("a"), struct(one.vars[b.name]).cast(T.TERM).alias("b")))
     start = edges
-    if isinstance(p.s, Term):
-        start = edges.where(T.same(Dyn(F.col("a")), T.shape_of(p.s)))
+    back = isinstance(p.o, Term) and not isinstance(p.s, Term)  # from the end that is known
+    if back:
+        start = edges = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    end = p.o if back else p.s
+    if isinstance(end, Term):
+        start = edges.where(T.same(Dyn(F.col("a")), T.shape_of(end)))
     step = edges.select(F.col("a").alias("b"), F.col("b").alias("c"))
     found = last = cut(start)
     while True:
@@ -36,7 +40,7 @@ def closure(c: Compiler, p: A.PathPattern) -> Relation:
             break
         found = cut(found.unionByName(last))
     x, y = fresh("p"), fresh("p")
-    pairs = relation([Branch({a.name: Dyn(x), b.name: Dyn(y)}, frozenset((a.name, b.name)), found.select(F.col("a").alias(x), F.col("b").alias(y)))], (a.name, b.name))
+    pairs = relation([Branch({a.name: Dyn(x), b.name: Dyn(y)}, frozenset((a.name, b.name)), found.select(F.col("a").alias(y if back else x), F.col("b").alias(x if back else y)))], (a.name, b.name))
     if path.zero:
         if isinstance(p.s, A.Var) and isinstance(p.o, A.Var):
             same = c.compile(every_node(a, b))
@@ -70,11 +74,16 @@ def _between(c: Compiler, pairs: Relation, a: str, b: str, p: A.PathPattern) ->
 
 
 def cut(df):
-    """The rows in the folder that spark.checkpoint.dir names; only where it is unset, as in tests, in a new one."""
+    """The rows in the folder that spark.checkpoint.dir names.  Only where it is unset and the session runs in this one
+    process, as in tests, in a new one; on a cluster an unset folder is an error."""
     import tempfile
 
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and context.master.startswith("local") and not context.master.startswith("local-cluster"):
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        if folder is None:
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder)
     return df.checkpoint()
-

@@ -13,7 +13,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph import terms as T
-from loomgraph.functions.expressions import Context, condition, truth, value
+from loomgraph.functions.expressions import SOLUTION, Context, condition, text, truth, value
 from loomgraph.operators.aggregate import aggregated
 from loomgraph.operators.closure import closure
 from loomgraph.operators.relation import (
@@ -170,7 +170,7 @@ class Compiler:
 
     def context(self, vars_: dict) -> Context:
         o = self.options
-        return Context(vars_, o.mint, o.mint_name, o.generalized, "", o.functions, o.argument_depth)
+        return Context(vars_, o.mint, o.mint_name, o.generalized, "", o.functions, o.argument_depth, o.ranges)
 
     def with_flags(self, rel: Relation, e) -> tuple[Relation, object]:
         """EXISTS within an expression becomes a variable that says whether the pattern has a solution."""
@@ -189,7 +189,15 @@ class Compiler:
             e = _replaced(e, x, A.Var(name))
         return rel, e
 
+    def with_solution(self, rel: Relation, e) -> Relation:
+        """Where BNODE is called with an argument: solutions with a mark of their own, unless they have one."""
+        if not any(isinstance(x, A.Call) and x.name == "BNODE" and x.args for x in A.walk(e)) if not isinstance(e, Term) else True:
+            return rel
+        marked = (b if SOLUTION in b.vars else with_values(b, {SOLUTION: text(F.uuid())}, self.spark, (SOLUTION,)) for b in rel.branches)
+        return relation(marked, rel.scope | {SOLUTION})
+
     def filter(self, rel: Relation, e) -> Relation:
+        rel = self.with_solution(rel, e)
         parts = list(e.args) if isinstance(e, A.Call) and e.name == "&&" else [e]
         scope = rel.scope
         for part in sorted(parts, key=lambda p: bool(_exists_in(p))):
@@ -197,7 +205,7 @@ class Compiler:
                 rel = relation((p for b in rel.branches for p in self.exists_parts(b, part.pattern)[part.negated]), rel.scope)
                 continue
             rel, part = self.with_flags(rel, part)
-            names = sorted(A.variables(part)) if not isinstance(part, Term) else []
+            names = sorted(A.variables(part) | {SOLUTION}) if not isinstance(part, Term) else []
             kept = []
             for b in rel.branches:
                 there = [v for v in names if v in b.vars]
@@ -208,6 +216,7 @@ class Compiler:
         return relation((b.only(scope) for b in rel.branches), scope)
 
     def extend(self, rel: Relation, var: str, e) -> Relation:
+        rel = self.with_solution(rel, e)
         scope = rel.scope | {var}
         rel, e = self.with_flags(rel, e)
         out = []
@@ -274,16 +283,16 @@ class Compiler:
         return self.seeded(self.path(node))
 
     def _join(self, node: A.Join) -> Relation:
-        return join(self.compile(node.left), self.compile(node.right), self.spark)
+        return join(unmarked(self.compile(node.left)), unmarked(self.compile(node.right)), self.spark)
 
     def _union(self, node: A.Union) -> Relation:
         return union([self.compile(p) for p in node.parts])
 
     def _minus(self, node: A.Minus) -> Relation:
-        return minus(self.compile(node.left), self.compile(node.right), self.spark)
+        return minus(self.compile(node.left), unmarked(self.compile(node.right)), self.spark)
 
     def _leftjoin(self, node: A.LeftJoin) -> Relation:
-        left, right = self.compile(node.left), self.compile(node.right)
+        left, right = self.compile(node.left), unmarked(self.compile(node.right))
         e = node.condition
         if e is not None and _exists_in(e):
             return left_join_by_rows(left, lambda own: self.filter(join(own, right, self.spark), e), self.spark)
@@ -427,6 +436,13 @@ class Compiler:
         return aggregated(self, rel, node.keys, tuple(aggregates), A.scope(node))
 
 
+def unmarked(rel: Relation) -> Relation:
+    """Without the mark that tells solutions apart, which joins would take for a variable of both sides."""
+    if SOLUTION not in rel.scope:
+        return rel
+    return relation((b.only(rel.scope - {SOLUTION}) for b in rel.branches), rel.scope - {SOLUTION})
+
+
 def _exists_in(e) -> list[A.Exists]:
     if isinstance(e, A.Exists):
         return [e]

@@ -226,18 +226,28 @@ class Describe:
     named: tuple = ()
 
 
+@dataclass(frozen=True)
+class Quad:
+    """A template triple of a graph that an IRI or a variable names."""
+
+    graph: object
+    triple: Triple
+
+
 @dataclass(frozen=True)
 class Modify:
-    delete: tuple[Triple, ...]
-    insert: tuple[Triple, ...]
+    delete: tuple  # triples and quads
+    insert: tuple
     where: object
-    graphs: bool = False  # templates name graphs
+    into: str | None = None  # WITH
+    using: tuple[str, ...] = ()
+    using_named: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
 class Data:
-    delete: tuple[Triple, ...]
-    insert: tuple[Triple, ...]
+    delete: tuple
+    insert: tuple
 
 
 @dataclass(frozen=True)

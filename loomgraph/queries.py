@@ -68,17 +68,24 @@ CONTAINS = PREFIXES + "CONSTRUCT { ?s ?p ?o } WHERE { ?t rdf:subject ?s ; rdf:pr
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
+#: Those asked over views, which can also be run by way of their text over the source.
+OVER_VIEWS: dict[str, Callable[..., DataFrame]] = {}
 
 
 def query(name: str, text: str, sql: str | None, *tables: str, view: list[str] | None = None, generalized: bool = False, **how) -> None:
     """Registers a query over the named tables, directly or over views."""
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def run(spark: SparkSession, sf_dir: str, rewritten: bool = False) -> DataFrame:
         views = View.from_construct([PREFIXES + v if not v.startswith("PREFIX") else v for v in view], generalized) if view else None
-        return Engine(spark, source(spark, sf_dir, *tables), views, **how).sparql(PREFIXES + text)
+        engine = Engine(spark, source(spark, sf_dir, *tables), views, **how)
+        if rewritten:  # the same by way of text over the source
+            return Engine(spark, engine.catalog, generalized=generalized, mint=engine.options.mint, mint_name=engine.options.mint_name).sparql(engine.rewrite(PREFIXES + text))
+        return engine.sparql(PREFIXES + text)
 
     run.__name__ = name
     _QUERIES[name] = run
+    if view:
+        OVER_VIEWS[name] = run
     if sql:
         _SQL[name] = sql
 
@@ -119,8 +126,9 @@ query("view_scan_variable_predicate", "SELECT ?p (COUNT(*) AS ?n) { ?s ?p ?o } G
       "SELECT 'urn:t:contains' AS p, count(*) AS n FROM lineitem UNION ALL SELECT p, n FROM (SELECT unnest(['urn:t:n_nationkey','urn:t:n_name','urn:t:n_region','" + T.RDF + "type']) AS p, count(*) AS n FROM nation GROUP BY 1)",
       "lineitem", "nation", view=[CONTAINS, "CONSTRUCT { ?s ?p ?o } WHERE { ?s a :nation ; ?p ?o }"])
 query("select_star", "SELECT * { ?r :r_name ?name ; :r_regionkey ?key }", "SELECT r_regionkey::BIGINT AS key, r_name AS name, 'urn:t:region/'||r_regionkey AS r FROM region", "region")
-query("pattern_repeat", "SELECT ?s { ?s :l_linenumber ?x ; :l_quantity ?q . FILTER(?x = ?q) }",
-      "SELECT 'urn:t:line/'||l_orderkey||'/'||l_linenumber||'/'||l_partkey||'/'||l_suppkey AS s FROM lineitem WHERE l_linenumber = l_quantity", "lineitem")
+query("pattern_repeat", "SELECT ?x { ?x :near ?x }", "SELECT 'urn:t:nation/'||c_nationkey AS x FROM customer JOIN supplier ON c_nationkey=s_nationkey", "customer", "supplier",
+      view=["CONSTRUCT { ?n :near ?m } WHERE { ?c :c_nation ?n . ?s :s_nation ?m . ?c :c_mktsegment ?g FILTER(?g != \"none\") }"])
+query("pattern_repeat_scan", "SELECT ?l { ?l ?q ?l }", "SELECT 'urn:t:region/'||r_regionkey AS l FROM region", "region", view=["CONSTRUCT { ?r :itself ?r . ?r :name ?n } WHERE { ?r :r_name ?n }"])
 query("pattern_ground", "SELECT ?r { ?r :r_name ?n . :region/0 a :region }".replace(":region/0", "<urn:t:region/0>"), "SELECT 'urn:t:region/'||r_regionkey AS r FROM region WHERE EXISTS (SELECT 1 FROM region WHERE r_regionkey=0)", "region")
 query("pattern_constant_subject", "SELECT ?n ?b { <urn:t:customer/7> :c_name ?n ; :c_acctbal ?b }", "SELECT c_name AS n, c_acctbal AS b FROM customer WHERE c_custkey=7", "customer")
 
@@ -146,7 +154,11 @@ query("exists_expr", "SELECT ?d ?labelled { ?d :lang ?l BIND(EXISTS { ?d :qualit
       "SELECT 'urn:t:document/'||doc_id AS d, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id=documents.doc_id) AS labelled FROM documents", "documents", "labels")
 query("exists_in_disjunction", "SELECT ?d { ?d :lang ?l FILTER(?l = \"de\" || EXISTS { ?d :toxic 1 }) }",
       "SELECT 'urn:t:document/'||doc_id AS d FROM documents WHERE lang='de' OR EXISTS (SELECT 1 FROM labels l WHERE l.doc_id=documents.doc_id AND toxic=1)", "documents", "labels")
-query("unstable_guard", "SELECT ?r { ?r :r_name ?n BIND(RAND() AS ?x) FILTER(?x < 2) }", "SELECT 'urn:t:region/'||r_regionkey AS r FROM region", "region")
+query("unstable_guard", "SELECT ?r (?x = ?y AS ?same) (?x = ?z AS ?other) { ?r :r_name ?n BIND(RAND() AS ?x) BIND(?x AS ?y) BIND(RAND() AS ?z) FILTER(?x + 1 > ?y) }", "SELECT 'urn:t:region/'||r_regionkey AS r, true AS same, false AS other FROM region", "region")
+query("bnode_scope", "SELECT ?r (sameTerm(?a, ?b) AS ?same) (sameTerm(?a, ?c) AS ?other) { ?r :r_name ?n BIND(BNODE(?n) AS ?a) BIND(BNODE(?n) AS ?b) BIND(BNODE(\"x\") AS ?c) }", "SELECT 'urn:t:region/'||r_regionkey AS r, true AS same, false AS other FROM region", "region")
+query("bnode_by_solution", "SELECT (COUNT(DISTINCT ?a) AS ?n) { ?c :c_mktsegment ?m BIND(BNODE(?m) AS ?a) }", "SELECT count(*) AS n FROM customer", "customer")
+query("exists_maybe_bound", "SELECT ?d { ?d :lang ?l OPTIONAL { ?d :toxic ?x } FILTER EXISTS { ?e :quality ?y ; :toxic ?x } }",
+      "SELECT 'urn:t:document/'||d.doc_id AS d FROM documents d LEFT JOIN labels l ON d.doc_id=l.doc_id WHERE CASE WHEN toxic IS NULL THEN EXISTS (SELECT 1 FROM labels) ELSE EXISTS (SELECT 1 FROM labels m WHERE m.toxic=l.toxic) END", "documents", "labels")
 
 # --- joins -------------------------------------------------------------------------------------------------------------
 
@@ -371,6 +383,40 @@ def update_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _updated(spark, sf_dir, "INSERT { ?r :a ?n } WHERE { ?r :r_name ?n } ; DELETE { ?r ?p ?n } WHERE { ?r ?p ?n FILTER(?p != :a) } ; DELETE { ?r :a ?n } INSERT { ?r :b ?n } WHERE { ?r :a ?n }", "region")
 
 
+@special("update_graphs", "SELECT 'urn:t:g/a' AS g, n_name AS n FROM nation WHERE n_regionkey=1 UNION ALL SELECT 'urn:t:g/'||n_regionkey, n_name FROM nation WHERE n_nationkey < 10")
+def update_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates and data that name graphs, WITH and USING."""
+    catalog = Catalog(Triples.of(spark, []), {NS + "g/nations": source(spark, sf_dir, "nation")})
+    text = """INSERT { GRAPH :a { ?n :name ?x } } USING <urn:t:g/nations> WHERE { ?n :n_name ?x ; :n_region <urn:t:region/1> } ;
+        WITH <urn:t:g/nations> INSERT { GRAPH ?g { ?n :name ?x } } WHERE { ?n :n_name ?x ; :n_nationkey ?k ; :n_region ?r FILTER(?k < 10) BIND(IRI(CONCAT("urn:t:g/", STRAFTER(STR(?r), "region/"))) AS ?g) } ;
+        INSERT DATA { GRAPH <urn:t:g/a> { :gone :name "gone" } } ; INSERT { GRAPH <urn:t:g/a> { ?n :name ?x } } WHERE { GRAPH :a { ?n :name ?x } } ;
+        DELETE DATA { GRAPH <urn:t:g/a> { :gone :name "gone" } } ; WITH :a DELETE { ?n :name ?x } WHERE { ?n :name ?x } ; DELETE WHERE { GRAPH <urn:t:g/nations> { ?n :n_name ?x } }"""
+    after = Engine(spark, catalog).update(PREFIXES + text)
+    return Engine(spark, after).sparql(PREFIXES + "SELECT ?g (?x AS ?n) { GRAPH ?g { ?s :name ?x } }")
+
+
+@special("from_named", "SELECT 'urn:t:g/nations' AS g, count(*) AS n FROM nation")
+def from_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Engine(spark, _catalog(spark, sf_dir)).sparql(PREFIXES + "SELECT ?g (COUNT(?s) AS ?n) FROM NAMED <urn:t:g/nations> { GRAPH ?g { ?s a ?t } } GROUP BY ?g")
+
+
+@special("mint_encoding_triples", """SELECT * FROM (VALUES ('<ex://a>', ',iri,6:ex://a'), ('a,b:c', ',literal,5:a,b:c,39:http://www.w3.org/2001/XMLSchema#string,0:,0:'), ('ltr', ',literal,1:a,56:http://www.w3.org/1999/02/22-rdf-syntax-ns#dirLangString,2:en,3:ltr'),
+ ('triple', ',triple,iri,6:ex://a,iri,6:ex://p,literal,1:o,53:http://www.w3.org/1999/02/22-rdf-syntax-ns#langString,2:en,0:'), ('nested', ',triple,iri,6:ex://a,iri,6:ex://p,triple,iri,6:ex://b,iri,6:ex://q,iri,6:ex://c')) AS t(name, node)""")
+def mint_encoding_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodings of terms of every kind, read from a table of triples."""
+    a, p = T.iri("ex://a"), T.iri("ex://p")
+    terms = {"<ex://a>": a, "a,b:c": T.literal("a,b:c", T.STRING), "ltr": T.Term(T.LITERAL, "a", T.RDF + "dirLangString", "en", "ltr"), "triple": T.triple(a, p, T.Term(T.LITERAL, "o", T.RDF + "langString", "en")), "nested": T.triple(a, p, T.triple(T.iri("ex://b"), T.iri("ex://q"), T.iri("ex://c")))}
+    graph = Triples.of(spark, [(T.iri(f"{NS}{i}"), q, o) for i, (name, term) in enumerate(terms.items()) for q, o in ((T.iri(NS + "name"), T.literal(name, T.STRING)), (T.iri(NS + "term"), term))])
+    return Engine(spark, graph, mint="literal").sparql(PREFIXES + "SELECT ?name ?node { ?s :name ?name ; :term ?x BIND(<internal://blank>(?x) AS ?node) }")
+
+
+@special("mint_encoding_built", "SELECT ',triple,iri,'||length('urn:t:region/'||r_regionkey)||':urn:t:region/'||r_regionkey||',iri,7:urn:t:q,triple,iri,7:urn:t:a,iri,7:urn:t:r,literal,'||length(r_name)||':'||r_name||',39:http://www.w3.org/2001/XMLSchema#string,0:,0:' AS n FROM region")
+def mint_encoding_built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triple terms that the query builds, over a table of triples, nested."""
+    graph = Triples(source(spark, sf_dir, "region").frame(spark))
+    return Engine(spark, graph, mint="literal").sparql(PREFIXES + "SELECT ?n { ?s :r_name ?v BIND(<internal://blank>(TRIPLE(?s, :q, TRIPLE(:a, :r, ?v))) AS ?n) }")
+
+
 @special("update_admin", "SELECT count(*)*3 AS n FROM nation")
 def update_admin(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalog = _catalog(spark, sf_dir)
