@@ -46,7 +46,8 @@ class Table:
 class Scan:
     table: Table
     alias: str
-    tests: tuple[tuple[Callable, tuple], ...] = ()
+    #: What gives a condition, the shapes that it is given, and the condition, or None where it is still to be made.
+    tests: tuple[tuple[Callable, tuple, Column | None], ...] = ()
     #: Gives an array of (p, o) terms, from what names a column; each row stands once for each of them, under the columns
     #: ~p and ~o.
     spread: Callable[[Callable[[str], str]], Column] | None = None
@@ -55,14 +56,13 @@ class Scan:
         return f"{self.alias}__{column}"
 
     def frame(self) -> DataFrame:
-        out = self.table.df.select(*(F.col(f"`{c}`").alias(self.ref(c)) for c in self.table.df.columns))
+        out = self.table.df.toDF(*map(self.ref, self.table.df.columns))
         if self.spread:
             pair = self.ref("~")
             out = out.withColumn(pair, F.explode(self.spread(self.ref)))
             out = out.withColumns({self.ref("~p"): F.col(pair)["p"], self.ref("~o"): F.col(pair)["o"]}).drop(pair)
-        for make, shapes in self.tests:
-            out = out.where(make(*shapes))
-        return out
+        conditions = [make(*shapes) if found is None else found for make, shapes, found in self.tests]
+        return out.where(reduce(Column.__and__, conditions)) if conditions else out
 
     def renamed(self, alias: str) -> Callable[[object], object]:
         return lambda ref: alias + ref[len(self.alias) :] if isinstance(ref, str) and ref.startswith(self.alias + "__") else ref
@@ -96,7 +96,7 @@ class Branch:
             return self
         stored = all(isinstance(r, str) for x in shapes for r in refs(x))
         if self.scan and stored:
-            return replace(self, scan=replace(self.scan, tests=(*self.scan.tests, (make, shapes))))
+            return replace(self, scan=replace(self.scan, tests=(*self.scan.tests, (make, shapes, found))))
         return replace(self, df=self.frame(spark).where(found), scan=None)
 
     def needing(self, var: str) -> Branch:
@@ -248,8 +248,8 @@ def _fused(a: Branch, b: Branch) -> Branch | None:
     shared = set(a.vars) & set(b.vars)
     if not any(isinstance(a.vars[v], Node) and invertible(a.vars[v]) and set(refs(a.vars[v])) == key and with_refs(b.vars[v], rename) == a.vars[v] for v in shared):
         return None
-    moved = tuple((make, tuple(with_refs(x, rename) for x in shapes)) for make, shapes in b.scan.tests)
-    known = [(make, shapes) for make, shapes in a.scan.tests]
+    moved = tuple((make, tuple(with_refs(x, rename) for x in shapes), None) for make, shapes, _ in b.scan.tests)
+    known = a.scan.tests
     out = Branch({**{v: with_refs(x, rename) for v, x in b.vars.items()}, **a.vars}, a.certain | b.certain, None, replace(a.scan, tests=(*known, *moved), spread=a.scan.spread or b.scan.spread))
     for v in shared:
         other = with_refs(b.vars[v], rename)
