@@ -86,8 +86,9 @@ def pack_documents(
     A document longer than the largest capacity is cut into pieces of that capacity and a rest.  A null or empty text has
     its end mark alone.  Repeated rows are packed each by itself.  An empty table gives an empty result.
 
-    Pieces are dealt into shards by a hash of id, text and piece, about `shard` documents each however many there are, and
-    each shard is packed by itself: only lengths and ids are shuffled.  Splitting costs a few part-filled bins a shard.
+    Pieces are dealt into shards by a hash of id, text and piece, and of how often a task has met the same before, so that
+    rows that repeat are spread as well; a shard has about `shard` documents however many there are, and is packed by
+    itself: only lengths and ids are shuffled.  Splitting costs a few part-filled bins a shard.
     """
     if any(c < 1 for c in capacities):
         raise ValueError("capacities must be positive")
@@ -96,15 +97,20 @@ def pack_documents(
     shards, most = blocks_for(docs.count(), shard), max(capacities)
 
     def cut(batches):
+        met: dict[int, int] = {}  # times that a document has come
         for batch in slices(batches, "text"):
+            if len(met) > 200_000:
+                met.clear()
             where, piece, size, dealt = [], [], [], []
             for row, text in enumerate(x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()):
-                n, key = length(text), zlib.crc32(text)
+                n, key = length(text), zlib.crc32(text, zlib.crc32(repr(batch.column(0)[row].as_py()).encode()))
+                again = met.get(key, 0)
+                met[key] = again + 1
                 for k, start in enumerate(range(0, max(n, 1), most)):
                     where.append(row)
                     piece.append(k)
                     size.append(min(most, n - start))
-                    dealt.append(zlib.crc32(b"%d %d" % (key, k), zlib.crc32(repr(batch.column(0)[row].as_py()).encode())) % shards)
+                    dealt.append(zlib.crc32(b"%d %d %d" % (key, k, again)) % shards)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(where, type=pa.int64())), pa.array(piece, type=pa.int32()), pa.array(size, type=pa.int64()), pa.array(dealt, type=pa.int64())],
                 names=["doc_id", "piece", "n_tokens", "shard"],

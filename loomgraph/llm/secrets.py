@@ -9,6 +9,7 @@ are verified with the pattern.  A pattern without mandatory trigrams is run on e
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -185,9 +186,36 @@ def candidates(df: DataFrame, rules: tuple[SecretRule, ...] = RULES, *, id_col:
 
 # --- verification ------------------------------------------------------------------------------------------------
 
+#: Elements of an array that one fold collects.
+BLOCK = 256
 _SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
+def pieces_of(values: Column, block: int = BLOCK) -> Column:
+    """An array cut into arrays of `block` elements.  `values` is named for each of them, so it should be computed already."""
+    last = F.greatest(F.ceil(F.size(values) / block).cast("int") - 1, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(values, b * block + 1, F.lit(block)))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often `use` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def before(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """For each of an array of ints, `op` over 0 and all that come before it.  A fold that collects copies what it has at
+    each step, so it only runs over blocks, and over one value for each block."""
+    none = F.array().cast("array<int>")
+
+    def fold(own: Column, start: Column) -> Column:
+        first = F.struct(start.cast("int").alias("at"), none.alias("out"))
+        return F.aggregate(own, first, lambda acc, x: F.struct(op(acc["at"], x).cast("int").alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    total = lambda own: F.aggregate(own, F.lit(0), lambda acc, x: op(acc, x).cast("int"))
+    joined = lambda ps: F.flatten(F.zip_with(ps, fold(F.transform(ps, total), F.lit(0)), fold))
+    return once(values, lambda v: once(pieces_of(v), joined))
+
+
 def rule_spans(text: Column, rule: SecretRule, rank: int) -> Column:
     """Spans of the rule's leftmost non-overlapping matches that are long enough; code points, end exclusive.
 
@@ -197,16 +225,13 @@ def rule_spans(text: Column, rule: SecretRule, rank: int) -> Column:
     whole = F.regexp_extract_all(text, F.lit(rule.scanned), F.lit(0))
     judged = F.regexp_extract_all(text, F.lit(rule.scanned), F.lit(rule.group)) if rule.group else whole
     gaps = F.split(text, rule.scanned, -1)
-    parts = F.arrays_zip(whole.alias("m"), judged.alias("j"), F.slice(gaps, 1, F.size(whole)).alias("g"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
+    parts = F.zip_with(F.arrays_zip(whole.alias("m"), judged.alias("j")), F.slice(gaps, 1, F.size(whole)), lambda x, g: F.struct(F.length(g).alias("g"), F.length(x["m"]).alias("m"), F.length(x["j"]).alias("j")))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["g"])
-        end = begin + F.length(x["m"])
-        one = F.struct(begin.cast("int").alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.cast("int").alias("end"))
-        return F.struct(end.cast("int").alias("at"), F.when(F.length(x["j"]) >= rule.least, F.concat(acc["spans"], F.array(one))).otherwise(acc["spans"]).alias("spans"))
+    def place(x: Column, at: Column) -> Column:
+        begin = at + x["g"]
+        return F.when(x["j"] >= rule.least, F.struct(begin.cast("int").alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), (begin + x["m"]).cast("int").alias("end")))
 
-    return F.aggregate(parts, start, step, lambda acc: acc["spans"])
+    return once(parts, lambda ps: F.array_compact(F.zip_with(ps, before(F.transform(ps, lambda x: x["g"] + x["m"]), lambda a, b: a + b), place)))
 
 
 def find(df: DataFrame, rules: tuple[SecretRule, ...] = RULES, *, id_col: str = "doc_id", text_col: str = "text", output: str = "spans") -> DataFrame:
@@ -254,12 +279,23 @@ def redact(df: DataFrame, rules: tuple[SecretRule, ...] = RULES, *, id_col: str
     marked = "\x01spans"
     found = find(df, rules, id_col=id_col, text_col=text_col, output=marked)
     text = F.col(f"`{text_col}`")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.when(s["start"] >= acc["at"], F.lit(mask)).otherwise(F.lit("")))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), gap.alias("out"))
+    def cleaned(block: Column) -> Column:
+        """What stands for the text from where a block of spans begins to where it ends."""
+        begin, end = block[0]["at"], F.array_max(F.transform(block, lambda x: F.greatest(x["at"], x["end"])))
+
+        def piece(own: Column, x: Column) -> Column:
+            gap = F.substring(own, x["at"] - begin + 1, F.greatest(x["start"] - x["at"], F.lit(0)))
+            return F.concat(gap, F.when(x["start"] >= x["at"], F.lit(mask)).otherwise(F.lit("")))
+
+        return once(F.substring(text, begin + 1, end - begin), lambda own: F.array_join(F.transform(block, lambda x: piece(own, x)), ""))
+
+    def masked(spans: Column) -> Column:
+        reached = before(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+        placed = F.zip_with(spans, reached, lambda s, at: F.struct(s["start"].alias("start"), s["end"].alias("end"), at.alias("at")))
+        rest = F.substring(text, F.array_max(F.transform(spans, lambda s: s["end"])) + 1, F.length(text))
+        return F.concat(once(placed, lambda p: F.array_join(F.transform(pieces_of(p), cleaned), "")), rest)
 
     spans = F.col(f"`{marked}`")
-    clean = F.when(F.size(spans) > 0, F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))).otherwise(text)
+    clean = F.when(F.size(spans) > 0, once(spans, masked)).otherwise(text)
     return found.withColumn(text_col, clean).select(*(F.col(f"`{c}`") for c in df.columns))

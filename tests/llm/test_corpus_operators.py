@@ -269,6 +269,53 @@ def test_packing_is_whole_and_fits(spark):
     assert packing.pack_documents(table(spark, [])).count() == 0
 
 
+def packed_plainly(lengths, capacities, overhead):
+    """The greedy rule word for word, without any bookkeeping: (bin, offset) of each piece, and the bins' capacities."""
+    todo = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+    shrunk = lambda used: min(c for c in capacities if c >= used)
+    bins, where = [], {}
+    for at, i in enumerate(todo):
+        fits = [b for b in bins if b["room"] >= lengths[i]]
+        if fits:
+            least = min(b["room"] for b in fits)
+            chosen = max((b for b in fits if b["room"] == least), key=lambda b: b["last"])
+        else:
+            rated = []
+            for c in capacities:
+                if c < lengths[i]:
+                    continue
+                used, rest = lengths[i], sorted((lengths[j] for j in todo[at + 1 :]), reverse=True)
+                for n in rest:
+                    if used + n <= c:
+                        used += n
+                rated.append(((shrunk(used) + overhead) / used, c))
+            chosen = {"room": min(rated)[1], "held": 0, "last": 0}
+            bins.append(chosen)
+        where[i] = (bins.index(chosen), chosen["held"])
+        chosen["held"] += lengths[i]
+        chosen["room"] -= lengths[i]
+        chosen["last"] = at + 1
+    return [where[i] for i in range(len(lengths))], [shrunk(b["held"]) for b in bins]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_packing_is_the_greedy_rule(seed):
+    rng = random.Random(seed)
+    capacities = (8, 16, 32, 64)
+    lengths = [rng.choice((1, 2, 3, 5, 7, 8, 9, 15, 20, 31, 33, 50, 64)) for _ in range(rng.randint(1, 60))]
+    bins, offsets, sizes = packing.pack(np.array(lengths), capacities, 3)
+    places, plain = packed_plainly(lengths, capacities, 3)
+    assert sorted(sizes.tolist()) == sorted(plain)
+    assert list(zip(bins.tolist(), offsets.tolist(), strict=True)) == places
+
+
+def test_packing_spreads_rows_that_repeat(spark):
+    rows = [(1, "the same text in every row")] * 400
+    out = packing.pack_documents(table(spark, rows).coalesce(2), shard=50).collect()
+    shards = collections.Counter(r.bin_id >> 32 for r in out)
+    assert len(out) == 400 and len(shards) == 8 and max(shards.values()) < 120
+
+
 def test_packing_opens_the_least_cost_bin():
     bins, offsets, sizes = packing.pack(np.array([500, 10, 3000, 1000, 90]), (512, 1024, 4096), 16)
     assert sizes[bins[2]] == 4096 and bins[2] == bins[3] == bins[4] and sizes[bins[0]] == 512 and bins[0] == bins[1]
