@@ -352,6 +352,47 @@ def test_nearest_neighbours_recall_and_exact_scores(spark):
     assert projected_knn.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_nearest_over_many_cells(spark, monkeypatch):
+    """Recall over dozens of cells, parts and blocks, with a vector of many copies and vectors of two lengths."""
+    for name, value in (("INDEX_BLOCK", 100), ("QUERY_BLOCK", 7), ("SAMPLE", 1500)):
+        monkeypatch.setattr(projected_knn, name, value)
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(40, 24))
+    made = centres[rng.integers(0, 40, 3000)] + 0.4 * rng.normal(size=(3000, 24))
+    rows = [(i, v.tolist()) for i, v in enumerate(made)] + [(5000 + i, made[0].tolist()) for i in range(700)] + [(7000 + i, rng.normal(size=6).tolist()) for i in range(150)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(dict)
+    for r in projected_knn.nearest(df, F.col("vec_id") % 50 == 0).collect():
+        got[r.query_id][r.rank] = (r.vec_id, r.score)
+    hits = total = 0
+    for d in (24, 6):
+        ids = np.array([i for i, v in rows if len(v) == d])
+        own = np.array([v for _, v in rows if len(v) == d])
+        for q in np.flatnonzero(ids % 50 == 0):
+            score = (own * own[q]).sum(axis=1) / (np.linalg.norm(own, axis=1) * np.linalg.norm(own[q]))
+            score[q] = -9
+            order = np.lexsort((ids, -np.round(score, 12)))[:5]
+            assert sorted(got[ids[q]]) == [1, 2, 3, 4, 5]
+            hits += len(set(ids[order]) & {v for v, _ in got[ids[q]].values()})
+            total += 5
+            for v, s in got[ids[q]].values():
+                assert abs(s - score[np.flatnonzero(ids == v)[0]]) < 1e-9
+    assert hits >= 0.95 * total
+
+
+def test_cells_hold_every_point_once():
+    rng = np.random.default_rng(1)
+    points = rng.normal(size=(500, projected_knn.DIMENSIONS))
+    points[:300, 0] = 1.0
+    cells = projected_knn.Cells(points, 12)
+    more = rng.normal(size=(200, projected_knn.DIMENSIONS))
+    where = cells.of(more)
+    assert 8 <= len(cells.low) <= 14
+    for p, c in zip(more, where, strict=True):
+        assert cells.distances(p)[c] == 0 and (cells.low[c] <= p).all() and (p <= cells.high[c]).all()
+    assert projected_knn.Cells(np.zeros((0, projected_knn.DIMENSIONS)), 5).of(more).tolist() == [0] * 200
+
+
 def test_nearest_with_few_candidates_and_ties(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (3, [2.0, 0.0]), (2, [1.0, 0.0]), (1, [1.0, 0.0])], "vec_id long, embedding array<float>")
     got = sorted((r["rank"], r.vec_id, r.score) for r in projected_knn.nearest(df, F.col("vec_id") == 0).collect())
