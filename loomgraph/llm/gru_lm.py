@@ -86,7 +86,7 @@ def run_window(net: Network, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray,
     states, gates = np.empty((len(x) + 1, *h.shape), dtype=np.float32), np.empty((*x.shape, 2 * size), dtype=np.float32)
     inner, candidates = np.empty((*x.shape, size), dtype=np.float32), np.empty((*x.shape, size), dtype=np.float32)
     states[0] = h
-    puts = net.inputs[x]
+    puts = np.take(net.inputs, x, axis=0)
     for t in range(len(x)):
         put, own, gate, n = puts[t], states[t] @ net.recur, gates[t], candidates[t]
         np.add(own[:, : 2 * size], put[:, : 2 * size], out=gate)
@@ -113,20 +113,23 @@ def output_loss(net: Network, h: np.ndarray, y: np.ndarray, grads: Network | Non
     e = h @ net.to_class
     e += net.class_bias
     chosen = e[at, kind]
-    total = _exponentials(e)
+    # states lie within (-1, 1), so this bounds every logit
+    safe = float((np.abs(net.to_class).sum(axis=0) + np.abs(net.class_bias)).max()) < TOP
+    total = _exponentials(e, safe)
     out = (np.minimum(chosen, TOP) - np.log(total)).astype(np.float64)
     back = None
     if grads is not None:
         part = 1 / total  # left out of e, whose rows are long, and put to what meets it
         e[at, kind] -= total
-        grads.to_class += (h * part[:, None]).T @ e
+        grads.to_class += _outer(h * part[:, None], e)
         grads.class_bias += part @ e
         back = e @ net.to_class.T
         back *= part[:, None]
     order = np.argsort(kind.astype(np.uint8), kind="stable")
     ends = np.searchsorted(kind[order], np.arange(CLASSES + 1))
     order = order[: ends[CLASSES]]
-    own, words, chosen, totals = h[order], y[order] % EACH, np.empty(len(order), dtype=np.float32), np.empty(len(order), dtype=np.float32)
+    safe = float((np.abs(net.to_word).sum(axis=1) + np.abs(net.word_bias)).max()) < TOP
+    own, words, chosen, totals = np.take(h, order, axis=0), y[order] % EACH, np.empty(len(order), dtype=np.float32), np.empty(len(order), dtype=np.float32)
     behind = np.empty_like(own) if grads is not None else None
     for c in range(CLASSES):
         rows = slice(ends[c], ends[c + 1])
@@ -136,7 +139,7 @@ def output_loss(net: Network, h: np.ndarray, y: np.ndarray, grads: Network | Non
         e += net.word_bias[c]
         word, line = words[rows], at[: rows.stop - rows.start]
         chosen[rows] = e[line, word]
-        totals[rows] = total = _exponentials(e)
+        totals[rows] = total = _exponentials(e, safe)
         if grads is not None:
             part = 1 / total
             e[line, word] -= total
@@ -155,9 +158,19 @@ TOP = np.float32(60)
 ONES = np.ones(1 << 16, dtype=np.float32)
 
 
-def _exponentials(e: np.ndarray) -> np.ndarray:
-    """Turns logits into their exponentials; the sum of each row."""
-    np.minimum(e, TOP, out=e)
+def _outer(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b for long a and b, in parts that stay in the processor's cache."""
+    whole = len(a) // 512 * 512
+    out = a[whole:].T @ b[whole:]
+    if whole:
+        out += np.matmul(a[:whole].reshape(-1, 512, a.shape[1]).transpose(0, 2, 1), b[:whole].reshape(-1, 512, b.shape[1])).sum(axis=0)
+    return out
+
+
+def _exponentials(e: np.ndarray, safe: bool = False) -> np.ndarray:
+    """Turns logits into their exponentials; the sum of each row.  `safe`: none is above TOP."""
+    if not safe:
+        np.minimum(e, TOP, out=e)
     np.exp(e, out=e)
     return e @ ONES[: e.shape[1]]
 
@@ -243,7 +256,7 @@ class Trainer:
         into = own.copy()
         np.multiply(for_candidate, all_d, out=into[:, :, 2])
         scale = 1 / max(1, int(inside.sum()))
-        grads.recur = states[:-1].reshape(-1, size).T @ own.reshape(-1, 3 * size)
+        grads.recur = _outer(states[:-1].reshape(-1, size), own.reshape(-1, 3 * size))
         for k, g in enumerate((grads.recur, grads.to_class, grads.class_bias, grads.to_word, grads.word_bias), 1):
             g = g * scale
             self.squares[k] += g * g
@@ -251,7 +264,7 @@ class Trainer:
         ids = x.ravel()
         order = np.argsort(ids, kind="stable")
         named, first = np.unique(ids[order], return_index=True)
-        g = np.add.reduceat(into.reshape(-1, 3 * size)[order], first, axis=0) * scale
+        g = np.add.reduceat(np.take(into.reshape(-1, 3 * size), order, axis=0), first, axis=0) * scale
         self.squares[0][named] += g * g
         net.inputs[named] -= self.rate * g / np.sqrt(self.squares[0][named])
         return states[-1]
