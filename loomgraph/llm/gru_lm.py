@@ -275,14 +275,14 @@ class Trainer:
 
 def encoded(docs: DataFrame, held_out: Column, chunks: int) -> DataFrame:
     """Rows of two kinds, by chunk: a document (doc_id, key: a hash of its text, held, ids: its words numbered within the
-    chunk) or a word of the chunk (token, local: its number, n: times in training documents, shape)."""
+    chunk) or a word of the chunk (token, local: its number, n: times in training documents)."""
     id_type = docs.schema["doc_id"].dataType
     key = F.xxhash64("doc_id", "text")
     dealt = docs.select("doc_id", "text", held_out.alias("held"), F.pmod(key, F.lit(chunks)).cast("int").alias("chunk"), key.alias("key")).repartitionById(chunks, "chunk")
 
     def run(batches):  # of one chunk
         words, seen, chunk, arrow_id = Words(), np.zeros(1024, dtype=np.int64), None, None
-        names = ["chunk", "doc_id", "key", "held", "ids", "token", "local", "n", "shape"]
+        names = ["chunk", "doc_id", "key", "held", "ids", "token", "local", "n"]
         for batch in slices(batches, "text"):
             arrow_id, chunk = batch.column(0).type, batch.column(3)[0].as_py()
             own = [np.array(words.of([*(text or b"").lower().split(), END]), dtype=np.int32) for text in batch.column(1).cast(pa.binary()).to_pylist()]
@@ -292,17 +292,23 @@ def encoded(docs: DataFrame, held_out: Column, chunks: int) -> DataFrame:
             if counted:
                 seen += np.bincount(np.concatenate(counted), minlength=len(seen))
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(0), batch.column(4), batch.column(2), pa.array([x.tobytes() for x in own], type=pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(0), batch.column(4), batch.column(2), pa.array([x.tobytes() for x in own], type=pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], names=names)
         tokens = list(words.ids)
         for start in range(0, len(tokens), 50_000):
             part = tokens[start : start + 50_000]
             k = len(part)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(k, chunk, dtype=np.int32)), pa.nulls(k, arrow_id), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), pa.nulls(k, pa.binary()), pa.array(part, type=pa.binary()), pa.array(np.arange(start, start + k, dtype=np.int32)), pa.array(seen[start : start + k]), pa.array([shape_of(w) for w in part], type=pa.int32())],
+                [pa.array(np.full(k, chunk, dtype=np.int32)), pa.nulls(k, arrow_id), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), pa.nulls(k, pa.binary()), pa.array(part, type=pa.binary()), pa.array(np.arange(start, start + k, dtype=np.int32)), pa.array(seen[start : start + k])],
                 names=names,
             )
 
-    return dealt.mapInArrow(run, f"chunk int, doc_id {id_type.simpleString()}, key long, held boolean, ids binary, token binary, local int, n long, shape int")
+    return dealt.mapInArrow(run, f"chunk int, doc_id {id_type.simpleString()}, key long, held boolean, ids binary, token binary, local int, n long")
+
+
+def shaped(batches):
+    for batch in batches:
+        shapes = pa.array([shape_of(w) for w in batch.column(0).to_pylist()], type=pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column(0), shapes, batch.column(1)], names=["token", "shape", "c"])
 
 
 @dataclass
@@ -439,7 +445,8 @@ def score_documents(df: DataFrame, held_out: Column, *, id_col: str = "doc_id",
     spark, tables = df.sparkSession, Tables(df.sparkSession)
     chunks = blocks_for(docs.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0, chunk)
     table = tables.save(encoded(docs, held_out, chunks), "encoded")
-    counts_of = tables.save(table.where("token is not null").groupBy("token", "shape").agg(F.sum("n").alias("c")), "counts")
+    every = table.where("token is not null").groupBy("token").agg(F.sum("n").alias("c"))
+    counts_of = tables.save(every.mapInArrow(shaped, "token binary, shape int, c long"), "counts")
     counted = counts_of.where("c > 0")
     top = counted.orderBy(F.desc("c"), "token").limit(HEADS).collect()  # a fixed number of words
     totals = counted.groupBy("shape").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
@@ -452,8 +459,8 @@ def score_documents(df: DataFrame, held_out: Column, *, id_col: str = "doc_id",
     heads = [r["c"] for r in top]
     counts = Counts(tokens, distinct, shapes, heads)
     head = spark.createDataFrame([(bytes(r["token"]), i) for i, r in enumerate(top)], "token binary, head int")
-    known = counted.join(F.broadcast(head), "token", "left").select("token", "c", "head")
-    words = table.where("token is not null").join(known, "token", "left").select("chunk", "local", "shape", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("head", F.lit(-1)).alias("head"))
+    known = counts_of.join(F.broadcast(head), "token", "left").select("token", "shape", "c", F.coalesce("head", F.lit(-1)).alias("head"))
+    words = table.where("token is not null").select("chunk", "token", "local").join(known, "token").select("chunk", "local", "shape", "c", "head")
     sequences = tables.save(sequences_of(table, words, counts, id_type, chunks), "sequences")
     tables.drop(table, counts_of)
     net = Network.start(np.array(heads + [0] * (HEADS - len(heads)), dtype=np.float64), shapes[:, 0])
