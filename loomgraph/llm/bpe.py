@@ -15,10 +15,12 @@ from loomgraph.llm.common import slices, texts
 
 #: Texts longer than this many characters are encoded in parts.
 PART = 1 << 14
+#: Unicode's white space, which is the pattern's; Python's own class holds U+001C to U+001F as well.
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A part may end where white space follows a character that is none.  No match of the pattern holds a white-space
 #: character after another kind, and its only look-ahead applies after white space, so the matches on both sides
 #: are those of the whole text.
-SAFE = re.compile(r"(?<=\S)(?=\s)")
+SAFE = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
