@@ -89,7 +89,8 @@ class Engine:
         rel = self.compile(query.pattern, catalog)
         one = merged(rel, self.spark)
         names = _projection(query.pattern)
-        return one.frame(self.spark).select(*(_output(one.vars.get(v), out).alias(v) for v in names))
+        used = {r for v in names if v in one.vars for r in refs(one.vars[v])}
+        return one.select(self.spark, [_output(one.vars.get(v), out).alias(v) for v in names], used)
 
     def _outputs(self, triples: DataFrame, out: str) -> DataFrame:
         if out == "term":

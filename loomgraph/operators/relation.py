@@ -22,6 +22,10 @@ from loomgraph.terms import Const, Dyn, Lit, Node, Tri, bound, col, form, kinds,
 _names = itertools.count(1)
 #: Pairs of branches up to which a join is carried out pair by pair.
 PAIRS = 16
+#: Bytes of one side's files times those of the other's from which a join that isn't on a unique key is looked at more closely.
+CLOSELY = 1 << 32
+#: How many rows one row stands for at most; tasks that such rows are dealt to at most.
+STANDS, TASKS = 1 << 11, 2000
 
 
 def fresh(stem: str = "c") -> str:
@@ -68,20 +72,117 @@ class Scan:
         return lambda ref: alias + ref[len(self.alias) :] if isinstance(ref, str) and ref.startswith(self.alias + "__") else ref
 
 
+@dataclass(frozen=True)
+class Product:
+    """Pairs of rows that pass tests, as in Scan: a join in which a row may meet many on either side."""
+
+    left: Branch
+    right: Branch
+    tests: tuple[tuple[Callable, tuple, Column], ...] = ()
+    made: list = field(default_factory=list, compare=False)
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        if not self.made:
+            keys, one, two, rest = self._parts(spark)
+            joined = one.join(two, _equal(keys), "inner") if keys else one.crossJoin(two)
+            self.made.append(joined.where(reduce(Column.__and__, rest)) if rest else joined)
+        return self.made[0]
+
+    def select(self, spark: SparkSession, outputs: list[Column], columns: set[str]) -> DataFrame:
+        """What is made of `columns` alone.  A side of which nothing but its keys is asked for is counted, and the rows that
+        it stands for are made at the end."""
+        keys, left, right, rest = self._parts(spark)
+        counted = [columns & set(df.columns) <= {k[i] for k in keys} for i, df in enumerate((left, right))]
+        tasks = min(TASKS, 1 + _size(left) * _size(right) // CLOSELY)
+        if not keys or rest or not any(counted) or tasks == 1:
+            return self.frame(spark).select(*outputs)
+        times, sides = F.lit(1).cast("long"), []
+        for i, df in enumerate((left, right)):
+            if counted[i]:
+                n = fresh("n")
+                df, times = df.groupBy(*(F.col(f"`{c}`") for c in dict.fromkeys(k[i] for k in keys))).agg(F.count(F.lit(1)).alias(n)), times * F.col(n)
+            sides.append(df)
+        total, block, size = fresh("n"), fresh("n"), fresh("n")
+        met = sides[0].join(sides[1], _equal(keys), "inner").select(*outputs, times.alias(total))
+        names = [F.col(f"`{c}`") for c in met.columns[:-1]]
+        step = F.lit(STANDS).cast("long")
+        parts = met.withColumn(block, F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({total} - 1) div {STANDS}"))))
+        parts = parts.select(*names, F.least(step, F.col(total) - F.col(block) * step).cast("int").alias(size)).repartition(tasks)
+        return parts.select(*names, F.explode(F.array_repeat(F.lit(True), F.col(size))).alias(block)).select(*names)
+
+    def _parts(self, spark: SparkSession) -> tuple[list[tuple[str, str]], DataFrame, DataFrame, list[Column]]:
+        """Pairs of columns that must be equal; either side's rows, by its own tests; other tests."""
+        sides, keys, rest = [self.left, self.right], [], []
+        columns = [set(x.frame(spark).columns) for x in sides]
+        for make, shapes, found in self.tests:
+            used = {r for x in shapes for r in refs(x)}
+            at = next((i for i in (0, 1) if used <= columns[i]), None)
+            if at is not None:
+                sides[at] = sides[at].where(make, *shapes)
+                continue
+            pairs = _pairs(*shapes) if make is same else None
+            if pairs and all(x in columns[1] for x, _ in pairs):
+                pairs = [(y, x) for x, y in pairs]
+            if pairs and all(x in columns[0] and y in columns[1] for x, y in pairs):
+                keys += pairs
+            else:
+                rest.append(found)
+        one, two = (b.frame(spark) for b in sides)
+        types = dict(one.dtypes) | dict(two.dtypes)
+        if any(types[x] != types[y] for x, y in keys):
+            keys, rest = [], [*rest, _equal(keys)]
+        return keys, one, two, rest
+
+
+def _pairs(a, b) -> list[tuple[str, str]] | None:
+    """The columns that are equal where two shapes are the same term, if that is all it takes."""
+    if form(a) != form(b) or not refs(a) or isinstance(a, Tri) or not (invertible(a) and all(isinstance(r, str) for r in refs(a) + refs(b))):
+        return None
+    return list(zip(refs(a), refs(b), strict=True))
+
+
+def _equal(keys: list[tuple[str, str]]) -> Column:
+    return reduce(Column.__and__, (F.col(f"`{x}`") == F.col(f"`{y}`") for x, y in keys))
+
+
+def _size(df: DataFrame) -> int:
+    """Bytes of the files that a frame reads; 0 where Spark can't tell."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return 0 if max(sizes, default=0) >= 1 << 60 else sum(sizes)
+
+
 @dataclass(frozen=True)
 class Branch:
     vars: dict = field(default_factory=dict)
     certain: frozenset = frozenset()
     df: DataFrame | None = None
     scan: Scan | None = None
+    #: Stands where neither `df` nor `scan` does.
+    product: Product | None = None
 
     @property
     def unit(self) -> bool:
         """One row, no columns."""
-        return self.df is None and self.scan is None
+        return self.df is None and self.scan is None and self.product is None
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        return self.scan.frame() if self.scan else self.df if self.df is not None else spark.range(1).select()
+        if self.scan or self.df is not None:
+            return self.scan.frame() if self.scan else self.df
+        return self.product.frame(spark) if self.product else spark.range(1).select()
+
+    def select(self, spark: SparkSession, outputs: list[Column], used: set) -> DataFrame:
+        """Outputs over the columns in `used`."""
+        if self.product and self.df is None and all(isinstance(r, str) for r in used):
+            return self.product.select(spark, outputs, used)
+        return self.frame(spark).select(*outputs)
+
+    def singles(self, names: Iterable[str]) -> bool:
+        """Whether no two rows agree on these variables."""
+        if not (self.scan and self.scan.table.unique and self.scan.table.key and not self.scan.spread):
+            return False
+        key = {self.scan.ref(c) for c in self.scan.table.key}
+        return any(isinstance(x := self.vars[v], Node) and invertible(x) and set(refs(x)) == key for v in names)
 
     def only(self, names: Iterable[str]) -> Branch:
         keep = set(names)
@@ -97,6 +198,8 @@ class Branch:
         stored = all(isinstance(r, str) for x in shapes for r in refs(x))
         if self.scan and stored:
             return replace(self, scan=replace(self.scan, tests=(*self.scan.tests, (make, shapes, found))))
+        if self.product and self.df is None and stored:
+            return replace(self, product=replace(self.product, tests=(*self.product.tests, (make, shapes, found)), made=[]))
         return replace(self, df=self.frame(spark).where(found), scan=None)
 
     def needing(self, var: str) -> Branch:
@@ -272,9 +375,11 @@ def join_branches(a: Branch, b: Branch, spark: SparkSession) -> Branch | None:
     fused = _fused(a, b)
     if fused is not None:
         return fused
-    left, right = a.frame(spark), b.frame(spark)
-    df = left.crossJoin(right) if tests is True else left.join(right, tests, "inner")
-    return Branch(vars_, a.certain | b.certain, df)
+    shared = set(a.vars) & set(b.vars)
+    if not a.singles(shared) and not b.singles(shared):
+        pairs = [(same, (a.vars[v], b.vars[v]), same(a.vars[v], b.vars[v])) for v in sorted(shared)]
+        return Branch(vars_, a.certain | b.certain, product=Product(a, b, tuple(p for p in pairs if p[2] is not True)))
+    return Branch(vars_, a.certain | b.certain, a.frame(spark).join(b.frame(spark), tests, "inner"))
 
 
 def join(left: Relation, right: Relation, spark: SparkSession) -> Relation:
