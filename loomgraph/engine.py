@@ -71,7 +71,8 @@ class Engine:
     def sparql(self, text: str, out: str = "native") -> DataFrame:
         """SELECT: a column for each variable, in the order of the projection.  ASK: one boolean column, `result`.
         CONSTRUCT and DESCRIBE: columns s, p, o, without repeats.  Nothing is run yet, but for `+` and `*` paths in a view's
-        body or over the source, whose rounds are run while the query is compiled."""
+        body or over the source, whose rounds are run while the query is compiled, and the counts of a join's rows by key
+        where large tables meet on no unique key."""
         if out not in OUTPUTS:
             raise ValueError(f"out must be one of {', '.join(OUTPUTS)}")
         query = self.plan(text)

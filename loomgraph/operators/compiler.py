@@ -17,7 +17,7 @@ from loomgraph.functions.expressions import SOLUTION, Context, condition, text,
 from loomgraph.operators.aggregate import aggregated
 from loomgraph.operators.closure import closure
 from loomgraph.operators.relation import (
-    UNIT, Branch, Relation, copied, distinct, flagged, fresh, join, left_join, left_join_by_rows, merged, minus, order_keys, relation, semi_parts, split, union, with_values,
+    UNIT, Branch, Relation, copied, distinct, flagged, fresh, fused, join, left_join, left_join_by_rows, merged, minus, order_keys, relation, semi_parts, split, union, with_values,
 )
 from loomgraph.plans import algebra as A
 from loomgraph.plans.parser import SparqlError, opened
@@ -148,13 +148,17 @@ class Compiler:
         return distinct(out, self.spark) if self.over_view and self.options.dedup and out.branches else out
 
     def bgp(self, patterns: tuple) -> Relation:
-        """Connected patterns first, those with fewer branches and more constants before others."""
-        todo = [(p, self.pattern(p) if isinstance(p, A.Triple) else self.path(p)) for p in patterns]
-        todo.sort(key=lambda x: (len(x[1].branches) > 1, len(x[1].branches), len(x[1].scope)))
-        out = UNIT
+        """Connected patterns first, those with fewer branches and more constants before others; patterns on one row of a
+        table are one scan before it meets others."""
+        found = [self.pattern(p) if isinstance(p, A.Triple) else self.path(p) for p in patterns]
+        found.sort(key=lambda x: (len(x.branches) > 1, len(x.branches), len(x.scope)))
+        out, todo = UNIT, []
+        for rel in found:
+            at, one = next(((i, y) for i, x in enumerate(todo) if (y := fused(x, rel))), (len(todo), rel))
+            todo[at : at + 1] = [one]
         while todo:
-            at = next((i for i, x in enumerate(todo) if x[1].scope & out.scope), 0)
-            out = join(out, todo.pop(at)[1], self.spark)
+            at = next((i for i, x in enumerate(todo) if x.scope & out.scope), 0)
+            out = join(out, todo.pop(at), self.spark)
         return out if patterns else UNIT
 
     def path(self, p: A.PathPattern) -> Relation:

@@ -24,7 +24,9 @@ _names = itertools.count(1)
 PAIRS = 16
 #: Bytes of one side's files times those of the other's from which a join that isn't on a unique key is looked at more closely.
 CLOSELY = 1 << 32
-#: How many rows one row stands for at most; tasks that such rows are dealt to at most.
+#: Rows of a side to a block: a key with more pairs of rows than BLOCK * BLOCK is joined block by block.
+BLOCK = 2048
+#: Rows that stand for others, and how many they stand for at most; tasks that such rows and blocks are dealt to at most.
 STANDS, TASKS = 1 << 11, 2000
 
 
@@ -84,14 +86,14 @@ class Product:
     def frame(self, spark: SparkSession) -> DataFrame:
         if not self.made:
             keys, one, two, rest = self._parts(spark)
-            joined = one.join(two, _equal(keys), "inner") if keys else one.crossJoin(two)
+            joined = _by_blocks(one, two, keys) if keys else one[0].crossJoin(two[0])
             self.made.append(joined.where(reduce(Column.__and__, rest)) if rest else joined)
         return self.made[0]
 
     def select(self, spark: SparkSession, outputs: list[Column], columns: set[str]) -> DataFrame:
         """What is made of `columns` alone.  A side of which nothing but its keys is asked for is counted, and the rows that
         it stands for are made at the end."""
-        keys, left, right, rest = self._parts(spark)
+        keys, (left, _), (right, _), rest = self._parts(spark)
         counted = [columns & set(df.columns) <= {k[i] for k in keys} for i, df in enumerate((left, right))]
         tasks = min(TASKS, 1 + _size(left) * _size(right) // CLOSELY)
         if not keys or rest or not any(counted) or tasks == 1:
@@ -110,8 +112,8 @@ class Product:
         parts = parts.select(*names, F.least(step, F.col(total) - F.col(block) * step).cast("int").alias(size)).repartition(tasks)
         return parts.select(*names, F.explode(F.array_repeat(F.lit(True), F.col(size))).alias(block)).select(*names)
 
-    def _parts(self, spark: SparkSession) -> tuple[list[tuple[str, str]], DataFrame, DataFrame, list[Column]]:
-        """Pairs of columns that must be equal; either side's rows, by its own tests; other tests."""
+    def _parts(self, spark: SparkSession) -> tuple[list[tuple[str, str]], tuple, tuple, list[Column]]:
+        """Pairs of columns that must be equal; either side's rows, by its own tests, and what tells them apart; other tests."""
         sides, keys, rest = [self.left, self.right], [], []
         columns = [set(x.frame(spark).columns) for x in sides]
         for make, shapes, found in self.tests:
@@ -127,8 +129,8 @@ class Product:
                 keys += pairs
             else:
                 rest.append(found)
-        one, two = (b.frame(spark) for b in sides)
-        types = dict(one.dtypes) | dict(two.dtypes)
+        one, two = ((b.frame(spark), b.rows()) for b in sides)
+        types = dict(one[0].dtypes) | dict(two[0].dtypes)
         if any(types[x] != types[y] for x, y in keys):
             keys, rest = [], [*rest, _equal(keys)]
         return keys, one, two, rest
@@ -152,6 +154,35 @@ def _size(df: DataFrame) -> int:
     return 0 if max(sizes, default=0) >= 1 << 60 else sum(sizes)
 
 
+def _by_blocks(left: tuple[DataFrame, list[str]], right: tuple[DataFrame, list[str]], keys: list[tuple[str, str]]) -> DataFrame:
+    """The join on equal keys.  Where a key has many rows on both sides, these are dealt into blocks, and each block of one
+    side meets each of the other in a place of its own; how many pairs there are is counted beforehand."""
+    plain = left[0].join(right[0], _equal(keys), "inner")
+    if _size(left[0]) * _size(right[0]) < CLOSELY:
+        return plain
+    names, counts, blocks = [], [], (fresh("b"), fresh("b"))
+    for i, (df, _) in enumerate((left, right)):
+        own = [k[i] for k in keys]
+        names.append([fresh("k") for _ in own])
+        counts.append(df.groupBy(*(F.col(f"`{c}`").alias(n) for c, n in zip(own, names[i], strict=True))).agg(F.count(F.lit(1)).alias(blocks[i])))
+    pairs = F.col(blocks[0]).cast("double") * F.col(blocks[1]) / (BLOCK * BLOCK)
+    every = counts[0].join(counts[1], _equal(list(zip(*names, strict=True))), "inner")
+    full, rows = every.agg(F.sum(pairs), F.sum(F.col(blocks[0]) + F.col(blocks[1]))).first()
+    if not full or full <= 1 or full * BLOCK * BLOCK < 16 * rows:  # blocks against blocks, as if all were full
+        return plain
+    many = every.where(pairs > 1).select(*names[0], *(F.ceil(F.col(b) / BLOCK).alias(b) for b in blocks))
+    least = int(left[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks, dealt, at = max(least, min(TASKS, int(full))), [], []
+    for i, (df, rows) in enumerate((left, right)):
+        own, here = [k[i] for k in keys], {n: fresh("k") for n in (*names[0], *blocks)}
+        at.append([fresh("b"), fresh("b")])
+        out = df.join(F.broadcast(many.toDF(*here.values())), _equal(list(zip(own, (here[n] for n in names[0]), strict=True))), "left")
+        out = out.withColumn(at[i][i], F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in rows)), F.coalesce(here[blocks[i]], F.lit(1))))
+        out = out.withColumn(at[i][1 - i], F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(here[blocks[1 - i]], F.lit(1)) - 1))).drop(*here.values())
+        dealt.append(out.repartition(tasks, *(F.col(f"`{c}`") for c in (*own, *at[i]))))
+    return dealt[0].join(dealt[1], _equal([*keys, *zip(*at, strict=True)]), "inner").drop(*at[0], *at[1])
+
+
 @dataclass(frozen=True)
 class Branch:
     vars: dict = field(default_factory=dict)
@@ -177,6 +208,12 @@ class Branch:
             return self.product.select(spark, outputs, used)
         return self.frame(spark).select(*outputs)
 
+    def rows(self) -> list[str]:
+        """Columns that tell rows apart as well as any."""
+        if self.scan and self.scan.table.unique and self.scan.table.key and not self.scan.spread:
+            return [self.scan.ref(c) for c in self.scan.table.key]
+        return list(dict.fromkeys(r for x in self.vars.values() for r in refs(x)))
+
     def singles(self, names: Iterable[str]) -> bool:
         """Whether no two rows agree on these variables."""
         if not (self.scan and self.scan.table.unique and self.scan.table.key and not self.scan.spread):
@@ -363,6 +400,14 @@ def _fused(a: Branch, b: Branch) -> Branch | None:
     return out
 
 
+def fused(left: Relation, right: Relation) -> Relation | None:
+    """The join of two relations that read the same rows of one table, as one scan."""
+    if len(left.branches) != 1 or len(right.branches) != 1:
+        return None
+    one = _fused(left.branches[0], right.branches[0])
+    return None if one is None else Relation((one,), left.scope | right.scope)
+
+
 def join_branches(a: Branch, b: Branch, spark: SparkSession) -> Branch | None:
     tests = _tests(a, b)
     if tests is False:

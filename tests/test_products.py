@@ -64,3 +64,27 @@ def test_one_side_or_both_are_counted(spark, closely, tmp_path, select):
                 row = {"?n": f"urn:t:n{i % 3}", "?a": f"urn:t:a{i}", "?b": f"urn:t:b{j}", "(1 AS ?one)": "1"}
                 want[tuple(row[v] for v in (select.split() if select[0] == "?" else [select]))] += 1
     assert Counter(tuple(map(str, r)) for r in found.collect()) == want
+
+
+def test_pairs_of_one_key_are_joined_in_blocks(spark, closely, shop):
+    at, _, suppliers = shop
+    found = queries.queries()["join_theta"](spark, at)
+    there = [s for s in suppliers if None not in s]
+    want = Counter((f"urn:t:supplier/{a[0]}", f"urn:t:supplier/{b[0]}") for a in there for b in there if a[2] == b[2] and a[3] > b[3])
+    assert Counter((r["a"], r["b"]) for r in found.collect()) == want
+    assert largest_share(found) < 0.5
+
+
+def test_blocks_of_unlike_sides_and_terms_of_any_kind(spark, closely, tmp_path):
+    node = lambda x: iri(f"urn:t:{x}")
+    triples = [(node(f"{kind}{i}"), node(f"in_{kind}"), node(f"n{i % 2}")) for kind, n in (("a", 6), ("b", 400)) for i in range(n)]
+    Triples.of(spark, triples).df.write.parquet(str(tmp_path / "t"))
+    graph = Triples(spark.read.parquet(str(tmp_path / "t")))
+    found = Engine(spark, graph).sparql(queries.PREFIXES + "SELECT ?a ?b { ?a :in_a ?n . ?b :in_b ?n }")
+    want = Counter((f"urn:t:a{i}", f"urn:t:b{j}") for i in range(6) for j in range(400) if i % 2 == j % 2)
+    assert Counter((r["a"], r["b"]) for r in found.collect()) == want
+
+
+def test_patterns_on_one_row_are_read_in_one_scan_before_they_meet_others(spark, shop):
+    found = queries.queries()["join_theta"](spark, shop[0])
+    assert found._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2
