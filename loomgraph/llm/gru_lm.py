@@ -432,17 +432,20 @@ def trained(chunks: DataFrame, net: Network, tables: Tables, part: int = 1) -> N
     return net if row is None else net.unpacked(np.frombuffer(row["weights"], dtype=np.float64) / row["tokens"])
 
 
-def score_documents(df: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities of each whole text).
+@dataclass
+class Prepared:
+    """What comes before the network: rows of chunks (see sequences_of), not yet run, from two tables."""
 
-    `held_out` is a condition over column doc_id; the other rows are learned from.  Tokens are words lower-cased over A-Z,
-    and one end mark.  A null text counts as empty: its end mark alone.  Rows that repeat are counted and scored each by
-    itself, also those with a null id.  Without training rows every count is 0 and the untrained network scores.  An
-    empty table gives an empty result.  Other columns are ignored.
-    """
+    sequences: DataFrame
+    sources: tuple[DataFrame, ...]
+    counts: Counts
+    chunks: int
+    id_type: str
+
+
+def prepared(df: DataFrame, held_out: Column, tables: Tables, id_col: str, text_col: str, chunk: int) -> Prepared:
     docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    spark, tables = df.sparkSession, Tables(df.sparkSession)
     chunks = blocks_for(docs.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0, chunk)
     table = tables.save(encoded(docs, held_out, chunks), "encoded")
     every = table.where("token is not null").groupBy("token").agg(F.sum("n").alias("c"))
@@ -456,14 +459,39 @@ def score_documents(df: DataFrame, held_out: Column, *, id_col: str = "doc_id",
     tokens, distinct = int(shapes[:, 0].sum()), int(shapes[:, 1].sum())
     for r in top:
         shapes[r["shape"]] -= r["c"], 1
-    heads = [r["c"] for r in top]
-    counts = Counts(tokens, distinct, shapes, heads)
-    head = spark.createDataFrame([(bytes(r["token"]), i) for i, r in enumerate(top)], "token binary, head int")
+    counts = Counts(tokens, distinct, shapes, [r["c"] for r in top])
+    head = df.sparkSession.createDataFrame([(bytes(r["token"]), i) for i, r in enumerate(top)], "token binary, head int")
     known = counts_of.join(F.broadcast(head), "token", "left").select("token", "shape", "c", F.coalesce("head", F.lit(-1)).alias("head"))
     words = table.where("token is not null").select("chunk", "token", "local").join(known, "token").select("chunk", "local", "shape", "c", "head")
-    sequences = tables.save(sequences_of(table, words, counts, id_type, chunks), "sequences")
-    tables.drop(table, counts_of)
-    net = Network.start(np.array(heads + [0] * (HEADS - len(heads)), dtype=np.float64), shapes[:, 0])
+    return Prepared(sequences_of(table, words, counts, id_type, chunks), (table, counts_of), counts, chunks, id_type)
+
+
+def base_scores(df: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """The columns of score_documents that the network has no part in, by the same steps up to its training."""
+    tables = Tables(df.sparkSession)
+    ready = prepared(df, held_out, tables, id_col, text_col, chunk)
+    found = tables.save(ready.sequences.drop("symbols", "tail_score"), "sequences")
+    tables.drop(*ready.sources)
+    rows = found.select(F.inline(F.arrays_zip("doc_id", "held", "n_tokens", "n_known", "base_score")))
+    return rows.select("doc_id", F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(ready.counts.tokens).cast("long").alias("train_tokens"), "base_score")
+
+
+def score_documents(df: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities of each whole text).
+
+    `held_out` is a condition over column doc_id; the other rows are learned from.  Tokens are words lower-cased over A-Z,
+    and one end mark.  A null text counts as empty: its end mark alone.  Rows that repeat are counted and scored each by
+    itself, also those with a null id.  Without training rows every count is 0 and the untrained network scores.  An
+    empty table gives an empty result.  Other columns are ignored.
+    """
+    spark, tables = df.sparkSession, Tables(df.sparkSession)
+    ready = prepared(df, held_out, tables, id_col, text_col, chunk)
+    counts, id_type, tokens = ready.counts, ready.id_type, ready.counts.tokens
+    sequences = tables.save(ready.sequences, "sequences")
+    tables.drop(*ready.sources)
+    # a task for each chunk: files are packed into some few tasks more than there are cores, which then run twice as long
+    sequences = sequences.repartitionById(ready.chunks, "chunk")
+    net = Network.start(np.array(counts.heads + [0] * (HEADS - len(counts.heads)), dtype=np.float64), counts.shapes[:, 0])
     for part in (8, 1):  # a common start from an eighth, then all
         net = trained(sequences, net, tables, part)
     shared = spark.sparkContext.broadcast(net)
