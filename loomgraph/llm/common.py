@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
 from collections.abc import Iterable, Iterator
 
@@ -89,6 +90,17 @@ class Words:
         return np.fromiter(map(xxhash.xxh3_64_intdigest, self.ids), dtype=U64, count=len(self.ids))
 
 
+def give_back() -> None:
+    """Memory that a finished task has freed goes back to the system: Python workers live on and would keep it."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def blocks_for(rows: int, each: int) -> int:
     return max(1, math.ceil(rows / each))
 

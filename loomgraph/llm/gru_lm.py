@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import Tables, Words, blocks_for, slices
+from loomgraph.llm.common import Tables, Words, blocks_for, give_back, slices
 
 HEADS, CLASSES, SHAPES, HIDDEN = 1024, 32, 16, 16
 EACH = HEADS // CLASSES
@@ -301,6 +301,8 @@ def encoded(docs: DataFrame, held_out: Column, chunks: int) -> DataFrame:
                 [pa.array(np.full(k, chunk, dtype=np.int32)), pa.nulls(k, arrow_id), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), pa.nulls(k, pa.binary()), pa.array(part, type=pa.binary()), pa.array(np.arange(start, start + k, dtype=np.int32)), pa.array(seen[start : start + k])],
                 names=names,
             )
+        words = tokens = None
+        give_back()
 
     return dealt.mapInArrow(run, f"chunk int, doc_id {id_type.simpleString()}, key long, held boolean, ids binary, token binary, local int, n long")
 
@@ -380,6 +382,8 @@ def sequences_of(table: DataFrame, words: DataFrame, counts: Counts, id_type: st
             [pa.array([chunk], type=pa.int32()), one(pa.concat_arrays(ids_of)), one(pa.array(held, type=pa.bool_())), *(one(pa.array(found[k])) for k in lists), pa.array([np.concatenate([sequences[i] for i in order]).tobytes()], type=pa.binary())],
             names=["chunk", "doc_id", "held", *lists, "symbols"],
         )
+        ids_of = held = sequences = found = parts = None
+        give_back()
 
     dealt = own.unionByName(first).repartitionById(chunks, "chunk").sortWithinPartitions("key")  # words, which have none, come first
     return dealt.mapInArrow(run, f"chunk int, doc_id array<{id_type}>, held array<boolean>, n_tokens array<long>, n_known array<long>, base_score array<double>, tail_score array<double>, symbols binary")
